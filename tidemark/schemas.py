@@ -1,0 +1,16 @@
+"""Schemas of the key-value relations."""
+
+from pyspark.sql import types as T
+
+KEY, VALUE = T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType(), True)
+KV = T.StructType([KEY, VALUE])
+VERSIONED = T.StructType([KEY, VALUE, T.StructField("gen", T.LongType(), False)])
+MUTATION = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op", T.StringType(), False), KEY, VALUE])
+INDEX = T.StructType([KEY, T.StructField("value_offset", T.LongType()), T.StructField("checksum", T.LongType())])
+TABLE_META = T.StructType(
+    [T.StructField("gen", T.LongType()), T.StructField("path", T.StringType()), T.StructField("num_records", T.LongType()), T.StructField("null_values", T.LongType()), T.StructField("min_key", T.BinaryType()), T.StructField("max_key", T.BinaryType())]
+    + [T.StructField(n, T.LongType()) for n in ("data_bytes", "index_bytes", "total_bytes")]
+    + [T.StructField("version", T.IntegerType()), T.StructField("skipped_records", T.LongType())]
+)
+LOOKUP_OUT = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("status", T.StringType()), VALUE])
+HISTORY = T.StructType([T.StructField("client", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("op", "key", "val", "err")], T.StructField("call_ns", T.LongType()), T.StructField("return_ns", T.LongType())])
