@@ -55,6 +55,17 @@ class Workspace:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: rows of a few numbers each that may be broadcast, some 50 MB
+BROADCAST_ROWS = 500_000
+
+
+def light(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it has BROADCAST_ROWS at most; beyond, Spark shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def arrow_map(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[dict[str, object]]]) -> DataFrame:
     """mapInArrow by a function from a batch to dicts of columns (lists or arrays) of that schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

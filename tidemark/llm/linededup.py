@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Workspace, arrow_map
+from .common import BROADCAST_ROWS, Workspace, arrow_map, light
 
 BUCKETS, SEGMENTS = 1 << 19, 64
 HOT = 64
-#: document ids that may be broadcast to fetch texts again (8 bytes each); more are joined by shuffling
-BROADCAST = 1_000_000
+#: removed lines that may be broadcast with their documents' ids
+BROADCAST_LINES = 4_000_000
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -177,9 +177,7 @@ def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
         pairs = ws.keep(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ends = ws.keep(ends.join(classes, "node").select("node", "doc_id"))
-        owners = ends.select("doc_id").distinct()
-        owners = F.broadcast(owners) if ends.count() <= BROADCAST else owners
-        texts = docs.join(owners, "doc_id", "left_semi").select("text")
+        texts = docs.join(light(ends.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
         full = arrow_map(texts, "node long, words array<long>", _full).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
         full = ws.keep(full)
         both = pairs.join(full.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
@@ -214,7 +212,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "linededup")
     part = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     gone = removed_lines(ws, part).distinct().groupBy("doc_id", "hash").agg(F.collect_set("line").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "__gone")
+    gone = ws.keep(gone.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "__gone"))
+    rows, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    gone = light(gone, rows if lines <= BROADCAST_LINES else BROADCAST_ROWS + 1)
     out = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))))
