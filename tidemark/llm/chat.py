@@ -147,4 +147,4 @@ def _quoted(text: Column) -> Column:
 
 def _pair(name: str, value: Column) -> Column:
     """name and the JSON of a string or list of strings; nothing for null."""
-    return F.coalesce(F.concat(F.lit(name), F.regexp_extract(F.to_json(F.struct(value.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1)), F.lit(""))
+    return F.when(value.isNotNull(), F.concat(F.lit(name), F.regexp_extract(F.to_json(F.struct(value.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1))).otherwise("")

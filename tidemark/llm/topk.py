@@ -89,7 +89,7 @@ def _cell(k: int):
             q, rows = (_integers(t.column("x").combine_chunks()) for t in (left, right))
             qids, ids = (t.column("vec_id").to_numpy() for t in (left, right))
             keys = left.column("qkey").to_pylist()
-            out = [(int(qids[i]), keys[i], int(ids[j]), s) for i, j, s in block_topk(q, qids, rows, ids, k)]
+            out = [(int(qids[i]), keys[i], int(ids[j]), min(max(s, -(1 << 63)), (1 << 63) - 1)) for i, j, s in block_topk(q, qids, rows, ids, k)]
         columns = list(zip(*out)) or [[], [], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "qkey", "vec_id", "score"), columns)})
 
@@ -104,6 +104,7 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Vectors that are null, empty, or hold null or non-finite components, and rows without a vec_id, take no
     part; vectors of another length than the query's are no candidates of it.  Repeated candidate rows each
     take a rank; repeated equal queries count once; different queries of one vec_id are ranked apart.
+    A score beyond the range of a long is given as the end of that range.
     Queries and candidates meet block by block, each pair of blocks in a task of its own.
     """
     ws = Workspace(vectors.sparkSession, "topk")

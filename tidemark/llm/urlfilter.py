@@ -138,7 +138,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
         keys = batch.column("keys")
         sizes = np.array([len(x) for x in keys.to_pylist()], np.int64) if len(keys) else np.zeros(0, np.int64)
         flat = keys.flatten().to_pylist()
-        first, second = (batch.column(n).flatten().flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1, HASHES) for n in ("member", "block"))
+        first, second = (batch.column(n).flatten().flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(flat), len(c.levels), HASHES) for n, c in (("member", member), ("block", block)))
         hit, blocked = member.listed(first), block.listed(second)
         rules_, verdicts, at = [], [], 0
         for n in sizes.tolist():
