@@ -190,7 +190,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([p for r in rows for p in r["p"] if p.strip()])
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
+def scan(ws: Workspace, docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> rid, doc_id, n_paragraphs, par, family, score, overlap, confirmed: one row with
     par -1 per document, and one per paragraph (line with words) that is predicted to be of a licence family
     or of an unknown licence (family other; never confirmed)."""
@@ -224,7 +224,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         best = F.when(z[i] == top, CLASSES[i]).otherwise(best)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
     hit = hit.select("rid", "doc_id", "n_paragraphs", "par", "grams", best.alias("best"), (1 / total).alias("score")).where("best <> 'none' or par < 0")
-    hit = hit.withColumn("family", F.when(F.col("score") < model.threshold, "other").otherwise(F.col("best")))
+    hit = ws.keep(hit.withColumn("family", F.when(F.col("score") < model.threshold, "other").otherwise(F.col("best"))))
     # some hundred rows; only grams with a weight can be found again
     shares = hit.select("rid", "par", "family", F.explode("grams").alias("gram")).join(F.broadcast(notices), ["gram", "family"]).groupBy("rid", "par", "notice").agg((F.count("*") / F.first("size")).alias("share"))
     shares = shares.groupBy("rid", "par").agg(F.max("share").alias("overlap"))
@@ -243,7 +243,7 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "licenses")
     model = model or train(docs)
-    found = ws.keep(scan(docs.select("doc_id", "text"), model))
+    found = ws.keep(scan(ws, docs.select("doc_id", "text"), model))
     confirmed = F.col("confirmed") & (F.col("par") >= 0)
     families = F.array_sort(F.collect_set(F.when(confirmed, F.col("family"))))
     out = found.groupBy("rid", "doc_id", "n_paragraphs").agg(F.count_if(F.col("par") >= 0).alias("n_license"), families.alias("families"), F.max(F.when(confirmed, F.col("score"))).alias("score"))
