@@ -118,13 +118,13 @@ def _index(rarity_data: bytes):
             names, maps = _names(hashes, sizes)
             prefix = sizes - (4 * sizes + 4) // 5 + 1
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            # sets of up to three words are linked with equal ones only; a word that occurs once links nothing
+            # sets of up to three words are linked with equal ones only; words that occur once link nothing, and
+            # as they come first, the places of the others follow from their number
             wanted = (place < np.repeat(prefix, sizes)) & np.repeat(sizes > 3, sizes) & (rarity[_bucket(hashes)] > 64)
             per = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[wanted], minlength=len(sizes))
             some = sizes > 0
             ends = np.zeros(int(some.sum()) + 1, np.int32)
             np.cumsum(per[some], out=ends[1:])
-            lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield {
                 "doc_id": batch.column("doc_id").take(pa.array(owner[some])),
                 "hash": batch.column("hash").take(pa.array(owner[some])),
@@ -132,8 +132,7 @@ def _index(rarity_data: bytes):
                 "node": names[some],
                 "n": sizes[some].astype(np.int32),
                 "bits": maps[some],
-                "words": lists((hashes[wanted] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                "places": lists(place[wanted].astype(np.int32)),
+                "words": pa.ListArray.from_arrays(pa.array(ends), pa.array((hashes[wanted] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
             }
 
     return f
@@ -162,21 +161,22 @@ def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     """docs (doc_id not null, hash, text) -> doc_id, hash, line: the lines that an earlier line matches."""
     counts = word_counts(docs)
     rarity = np.minimum(np.log2(counts + 1) * 64, 4095).astype(np.uint16).tobytes()
-    schema = "doc_id long, hash long, line int, node long, n int, bits long, words array<int>, places array<int>"
+    schema = "doc_id long, hash long, line int, node long, n int, bits long, words array<int>"
     lines = ws.keep(arrow_map(docs, schema, _index(rarity)))
-    firsts = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "hash")).alias("first"))
-    here = F.struct("doc_id", "line", "hash")
-    heads = lines.join(firsts, "node").where(F.col("first") == here)
-    postings = heads.select("doc_id", "line", "node", "n", "bits", F.explode(F.arrays_zip("words", "places")).alias("p"))
-    postings = postings.select(F.col("p.words").alias("word"), "doc_id", "line", "node", "n", "bits", F.col("p.places").alias("place"))
-    postings = ws.keep(postings)
-    classes = ws.keep(heads.select("node", "doc_id", "line"))
+    # (doc_id, line) as one number, whose minimum a hash aggregate can keep
+    order = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line")
+    firsts = lines.groupBy("node").agg(F.min(order).alias("first"))
+    ranked = ws.keep(lines.join(firsts, "node").withColumn("head", F.col("first") == order).drop("first"))
+    ws.drop(lines)
+    heads = ranked.where("head")
+    postings = heads.select("doc_id", "line", "node", "n", "bits", (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("words")).cast("int").alias("before"), F.posexplode("words").alias("at", "word"))
+    postings = postings.select("word", "doc_id", "line", "node", "n", "bits", (F.col("before") + F.col("at")).alias("place"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), a being earlier, those whose full sets reach 0.8: b alone is returned."""
         pairs = ws.keep(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = ws.keep(ends.join(classes, "node").select("node", "doc_id"))
+        ends = ws.keep(ends.join(heads.select("node", "doc_id"), "node"))
         texts = docs.join(light(ends.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
         full = arrow_map(texts, "node long, words array<long>", _full).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
         full = ws.keep(full)
@@ -186,18 +186,22 @@ def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
         ws.drop(pairs, full, ends)
         return out
 
-    order = F.struct("doc_id", "line", "node", "n", "bits", "place")
-    leads = postings.groupBy("word").agg(F.min(order).alias("l"), F.count("*").alias("size")).where(F.col("size") > HOT).select("word", "l.*")
-    hot = postings.alias("p").join(leads.alias("l"), "word").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
-    gone = verified(hot.select(F.col("l.node").alias("a"), F.col("p.node").alias("b")).distinct())
-
-    asking = postings.join(gone, "node", "left_anti").alias("q")
-    earlier = F.struct("p.doc_id", "p.line", "p.node") < F.struct("q.doc_id", "q.line", "q.node")
-    rest = postings.alias("p").join(asking, "word").where(earlier & _bounds("p", "q"))
-    gone = gone.union(verified(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()))
-
-    later = lines.join(firsts, "node").where(F.col("first") != here).select("doc_id", "hash", "line")
-    return later.union(lines.join(firsts, "node").where(F.col("first") == here).join(gone, "node", "left_semi").select("doc_id", "hash", "line"))
+    hot = ws.keep(postings.groupBy("word").count().where(F.col("count") > HOT).select("word"))
+    crowd = postings.join(light(hot), "word")
+    leads = crowd.groupBy("word").agg(F.min(F.struct("doc_id", "line", "node", "n", "bits", "place")).alias("l")).select("word", "l.*")
+    led = crowd.alias("p").join(light(leads).alias("l"), "word").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
+    gone = verified(led.select(F.col("l.node").alias("a"), F.col("p.node").alias("b")).distinct())
+
+    # both sides of this join are the same rows, which are shuffled once
+    marked = postings.join(light(gone.withColumn("done", F.lit(True))), "node", "left")
+    marked = marked.withColumn("done", F.coalesce("done", F.lit(False))).repartition("word")
+    earlier = F.struct("p.doc_id", "p.line") < F.struct("q.doc_id", "q.line")
+    rest = marked.alias("p").join(marked.alias("q"), "word").where(~F.col("q.done") & earlier & _bounds("p", "q"))
+    more = verified(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).where("a <> b").distinct())
+
+    gone = gone.union(more).distinct()
+    first = heads.join(light(gone), "node", "left_semi")
+    return ranked.where("not head").select("doc_id", "hash", "line").union(first.select("doc_id", "hash", "line"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
