@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Workspace, arrow_map
+from .common import Workspace, arrow_map, light
 from .components import components
 
 #: a pair at Jaccard 0.85 shares no band with probability 2.6e-7, at 0.8 with 4.9e-5 (more bands: less)
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         """The pairs (a, b) whose full sets, made again from the texts, are similar enough."""
         pairs = ws.keep(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(chosen.select("node", "rep"), "node")
-        texts = docs.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        texts = docs.join(light(ends.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
         full = ws.keep(arrow_map(texts, "node long, hashes array<long>", _sets(k)).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("total"))
