@@ -38,7 +38,8 @@ def block_topk(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.
     for at in range(0, len(queries), PASS):
         q, own = queries[at : at + PASS], qids[at : at + PASS, None] == ids[None, :]
         if not exact:  # beyond doubles: every list is read to its end, in whole numbers
-            scores = np.array([[int(s) for s in row] for row in q.astype(object) @ rows.astype(object).T], dtype=object).reshape(len(q), n)
+            whole_numbers = np.frompyfunc(int, 1, 1)
+            scores = whole_numbers(q).astype(object) @ whole_numbers(rows).astype(object).T
             for i in range(len(q)):
                 order = sorted((j for j in range(n) if not own[i, j]), key=lambda j: (-scores[i, j], ids[j]))[:k]
                 found += [(at + i, j, scores[i, j]) for j in order]
