@@ -178,7 +178,7 @@ def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ends = ws.keep(ends.join(heads.select("node", "doc_id"), "node"))
         texts = docs.join(light(ends.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-        full = arrow_map(texts, "node long, words array<long>", _full).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        full = arrow_map(texts, "node long, words array<long>", _full).join(light(ends.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
         full = ws.keep(full)
         both = pairs.join(full.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         common = both.select("b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
