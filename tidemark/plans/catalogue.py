@@ -28,6 +28,13 @@ def _tables(spark: SparkSession, d: str, block: int = 1000) -> DataFrame:
     return log.groupBy("key", "gen").agg(F.max_by(F.struct("value"), "seq").alias("r")).select("key", F.col("r.value").alias("value"), "gen")
 
 
+def _layers(spark: SparkSession, d: str, block: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables, read store and write store: the newest generation is the write store, the one before the read store."""
+    t, gens = _tables(spark, d, block), _log(spark, d, block).where("gen is not null").select("gen").distinct()
+    newest = [r.gen for r in gens.orderBy(F.desc("gen")).limit(2).collect()]
+    return t.where(~F.col("gen").isin(newest)), t.where(F.col("gen").isin(newest[1:])), t.where(F.col("gen").isin(newest[:1]))
+
+
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     o = _read(spark, d, "orders")
     return o.select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("key"), F.col("o_orderpriority").alias("value"))
@@ -112,16 +119,13 @@ _LAYERS = ', x as (select "key", value, gen from t where gen < 8 union all selec
 
 @query(_with(T_, _LAYERS, ", ", P, select="select p.\"key\", case when y.\"key\" is null or length(value) = 0 then 'NOT_FOUND' when value is null then 'TOMBSTONED' else 'FOUND' end as status, value from p left join (select * from y where rn = 1) y using (\"key\")"))
 def kv_layered_get(spark, d):
-    t = _tables(spark, d)
-    read = t.where("gen = 8 and key < '0000000060'")
-    write = t.where("gen = 9 and key < '0000000030'")
-    return lookup.get_many(lookup.layered(t.where("gen < 8"), read, write), _probes(spark, d), empty_is_missing=True)
+    return lookup.get_many(lookup.layered(*_layers(spark, d)), _probes(spark, d), empty_is_missing=True)
 
 
 @query(_with(T_, ", ", P, select='select p."key", coalesce(bool_or(value is not null and gen = 9) or bool_or(value is not null and gen = 8), false) as "either", case when bool_or(gen = 9) then bool_or(gen = 9 and value is not null) else coalesce(bool_or(value is not null), false) end as live from p left join (select * from t where gen in (8, 9)) t using ("key") group by p."key"'))
 def rw_contains(spark, d):
-    t = _tables(spark, d)
-    return memstore.rw_contains(t.where("gen = 9"), t.where("gen = 8"), _probes(spark, d))
+    _, read, write = _layers(spark, d)
+    return memstore.rw_contains(write, read, _probes(spark, d))
 
 
 @query(_with(O, select="select * from o"))
