@@ -14,6 +14,7 @@ def made(spark, tmp_path_factory):
     events = [(i, (i * 7 + i // 1000 * 31) % N_KEYS if i // 1000 % 3 else i % 90, "error" if i % 11 == 0 else "view", "" if i % 13 == 0 else f"p{i}") for i in range(N_EVENTS)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{d}/events.parquet")
     spark.createDataFrame([(k,) for k in range(N_CUSTOMERS)], "c_custkey long").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(k, f"{k % 5}-X") for k in range(1, 1200)], "o_orderkey long, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
     return d, events
 
 
@@ -41,3 +42,16 @@ def test_layers_of_the_whole_log(spark, made):
     live = lambda k: write[k] is not None if k in write else read.get(k) is not None
     assert got == {k: (write.get(int(k)) is not None or read.get(int(k)) is not None, live(int(k))) for k in got}
     assert len(set(got.values())) > 1
+
+
+def test_every_customer_is_looked_up_and_every_order_encoded(spark, made):
+    d, events = made
+    latest = {user: None if kind == "error" else props for _, user, kind, props in events}
+    rows = lambda name: [tuple(r) for r in catalogue.QUERIES[name](spark, d).collect()]
+    state = lambda k: ("NOT_FOUND", None) if k not in latest else ("TOMBSTONED", None) if latest[k] is None else ("FOUND", latest[k])
+    assert sorted(rows("kv_multi_get")) == [(key(k), *state(k)) for k in range(N_CUSTOMERS)]
+    assert sorted(rows("kv_contains")) == [(key(k),) for k in range(N_CUSTOMERS) if k in latest]
+    assert sorted(rows("kv_missing")) == [(key(k),) for k in range(N_CUSTOMERS) if k not in latest]
+    for name in ("kv_layered_get", "rw_contains"):
+        assert sorted(r[0] for r in rows(name)) == [key(k) for k in range(N_CUSTOMERS)]
+    assert sorted(rows("key_bytes")) == [(key(k).encode().hex().upper(), f"{k % 5}-X") for k in range(1, 1200)]
