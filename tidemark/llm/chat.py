@@ -4,7 +4,8 @@ A message is a row (conv_id, turn, role, text).  The text of an assistant messag
 `tool_calls`, a list of {"id", "name", "arguments", "depends_on"} (arguments: any JSON value; depends_on: ids of
 calls whose results it uses); the text of a `tool` message may be {"tool_call_id", "content"}; that of a
 `system` message may be {"tools": [{"name", "parameters"}]}, where parameters is a schema with `required` (names) and
-`properties` (name -> {"type"}).  Any other text is content.
+`properties` (name -> {"type"}).  Any other text is content, and so is an object that repeats a key.  All else that the
+object of a call or a result holds, `content` beside calls included, stays in its JSON.
 
 Calls and results meet in a hash join on (conv_id, id): the first call of an id in turn order owns it, later
 ones are `duplicate`, and each result joins that one call, so that no id, however often it is repeated, pairs
@@ -16,13 +17,14 @@ order; messages stay rows, so a conversation of any length is never gathered in
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>>"
-RESULT = "struct<tool_call_id:string,content:variant>"
 TOOLS = "struct<tools:array<struct<name:string,parameters:struct<required:array<string>,properties:map<string,struct<type:string>>>>>>"
 
 
@@ -31,6 +33,34 @@ def _parsed(role: str, schema: str) -> Column:
     return F.when((F.col("role") == role) & F.ltrim("text").startswith("{"), F.from_json("text", schema, {"mode": "PERMISSIVE"}))
 
 
+def _object() -> Column:
+    """The text of an assistant's or tool's message as a variant, or null if it isn't one JSON object and nothing else."""
+    # a parser stops after the first value: what follows it can't fit into both of these
+    alone = F.expr("try_variant_get(try_parse_json('[' || text || ']'), '$', 'array<variant>')")
+    named = F.expr("try_parse_json('{\"a\":' || text || '}')")
+    return F.when(F.col("role").isin("assistant", "tool") & F.ltrim("text").startswith("{") & (F.size(alone) == 1) & named.isNotNull(), F.get(alone, F.lit(0)))
+
+
+def _calls() -> Column:
+    """The calls of an object: id, name, arguments, depends_on, and as `all` the whole call."""
+    one = "named_struct('id', try_variant_get(c, '$.id', 'string'), 'name', try_variant_get(c, '$.name', 'string'), 'arguments', try_variant_get(c, '$.arguments', 'variant'), 'depends_on', try_variant_get(c, '$.depends_on', 'array<string>'), 'all', c)"
+    return F.expr(f"case when role = 'assistant' then transform(try_variant_get(object, '$.tool_calls', 'array<variant>'), c -> {one}) end")
+
+
+def _fields(value: Column) -> Column:
+    """The fields of an object as a map of their JSON; null for other values."""
+    return F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda _, v: F.coalesce(canonical(v), F.lit("null")))
+
+
+def _written(fields: Column, named: dict[str, Column]) -> Column:
+    """An object of JSON fields, where named ones that aren't null come instead, with sorted keys."""
+    rest = F.map_filter(fields, lambda k, _: ~reduce(or_, [(k == n) & v.isNotNull() for n, v in named.items()]))
+    ours = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in named.items()]
+    pairs = F.array_sort(F.concat(F.map_entries(rest), F.array_compact(F.array(*ours))))
+    written = F.transform(pairs, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.when(fields.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", written), F.lit("}")))
+
+
 def canonical(value: Column) -> Column:
     """A variant as JSON with sorted keys and no white space."""
     return F.to_json(value)
@@ -58,18 +88,19 @@ def format_chats(messages: DataFrame) -> DataFrame:
     duplicate; for results ok, orphan, repeated (a later result of an answered call).  A call is invalid if a
     required argument is missing or one has another type than its schema says, and unknown_tool if its
     conversation declares tools but not this one; a conversation without declarations isn't validated.  json
-    is the message with sorted keys: content, role, tool_calls, tool_call_id, as far as present.  A null role
+    is the message with sorted keys: content, role, tool_calls, tool_call_id, as far as present, and the other keys of a
+    call's or result's object (a role there that differs from the row's is named text.role).  A null role
     or text is left out of the JSON; null conv_id or turn are values like others (null turns come first);
     equal rows that repeat stay, each with the same key; other columns are ignored; an empty table gives none.
     """
     ws = Workspace(messages.sparkSession, "chat")
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("mid", F.monotonically_increasing_id())
-    rows = rows.select("*", _parsed("assistant", CALLS)["tool_calls"].alias("calls"), _parsed("tool", RESULT).alias("result"), _parsed("system", TOOLS)["tools"].alias("tools"))
+    rows = rows.withColumn("object", _object()).select("*", _calls().alias("calls"), F.expr("case when role = 'tool' then try_variant_get(object, '$.tool_call_id', 'string') end").alias("result_of"), _parsed("system", TOOLS)["tools"].alias("tools"))
     rows = ws.keep(rows.withColumn("at", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62)))))
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
 
     calls = rows.where("size(calls) > 0").select(conv.alias("conv"), "mid", "at", F.posexplode("calls").alias("pos", "call"))
-    calls = calls.select("conv", "mid", "at", "pos", "call.*").withColumn("order", F.struct("at", "mid", "pos"))
+    calls = calls.select("conv", "mid", "at", "pos", *[f"call.{c}" for c in ("id", "name", "arguments", "depends_on")]).withColumn("order", F.struct("at", "mid", "pos"))
     owners = calls.where("id is not null").groupBy("conv", "id").agg(F.min("order").alias("owner"))
     calls = calls.join(owners, ["conv", "id"], "left").withColumn("duplicate", F.coalesce(F.col("owner") != F.col("order"), F.lit(False)))
 
@@ -87,7 +118,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     fault = F.when(F.col("checked") & F.col("declared").isNull(), "unknown_tool").when(F.coalesce(missing | wrong | shape, F.lit(False)), "invalid")
     calls = ws.keep(calls.select("conv", "mid", "pos", "at", "id", "duplicate", "depends_on", fault.alias("fault")))
 
-    results = rows.where("role = 'tool' and result.tool_call_id is not null").select(conv.alias("conv"), "mid", "at", F.col("result.tool_call_id").alias("id"))
+    results = rows.where("result_of is not null").select(conv.alias("conv"), "mid", "at", F.col("result_of").alias("id"))
     firsts = results.groupBy("conv", "id").agg(F.min(F.struct("at", "mid")).alias("first"))
 
     # rounds: (conv, id, level, anchor) of the calls whose order is known
@@ -119,32 +150,28 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     out = rows.join(per_call, "mid", "left").join(per_result, "mid", "left")
     names_ = F.array(*[F.lit(x) for x in ("ok", "unanswered", "invalid", "unknown_tool", "cycle", "duplicate")])
+    text = lambda c: F.when(c.isNotNull(), _quoted(c))
     call_json = F.transform(
-        "calls", lambda c: F.concat(F.lit('{"arguments":'), F.coalesce(canonical(c["arguments"]), F.lit("null")), _pair(',"depends_on":', c["depends_on"]), _pair(',"id":', c["id"]), _pair(',"name":', c["name"]), F.lit("}"))
+        "calls", lambda c: F.coalesce(_written(_fields(c["all"]), {"id": text(c["id"]), "name": text(c["name"]), "arguments": F.coalesce(canonical(c["arguments"]), F.lit("null"))}), canonical(c["all"]))
     )
     # what isn't a call or a result is content as it stands
-    is_call, is_result = F.coalesce(F.size("calls") > 0, F.lit(False)), F.col("result.tool_call_id").isNotNull()
-    content = F.when(is_result, F.concat(F.lit('"content":'), F.coalesce(canonical(F.col("result.content")), F.lit("null")))).when(~is_call & F.col("text").isNotNull(), F.concat(F.lit('"content":'), _quoted(F.col("text"))))
-    body = F.concat_ws(
-        ",",
-        content,
-        F.when(F.col("role").isNotNull(), F.concat(F.lit('"role":'), _quoted(F.col("role")))),
-        F.when(is_result, F.concat(F.lit('"tool_call_id":'), _quoted(F.col("result.tool_call_id")))),
-        F.when(is_call, F.concat(F.lit('"tool_calls":['), F.concat_ws(",", call_json), F.lit("]"))),
-    )
+    is_call, is_result = F.coalesce(F.size("calls") > 0, F.lit(False)), F.col("result_of").isNotNull()
+    fields, role = _fields(F.col("object")), text(F.col("role"))
+    # a role in the object that isn't the row's stays under another name
+    fields = F.transform_keys(fields, lambda k, v: F.when((k == "role") & (v != role), "text.role").otherwise(k))
+    calls_ = F.when(is_call, F.concat(F.lit("["), F.concat_ws(",", call_json), F.lit("]")))
+    json = F.when(is_call, _written(fields, {"role": role, "tool_calls": calls_}))
+    json = json.when(is_result, _written(fields, {"role": role, "tool_call_id": text(F.col("result_of")), "content": F.coalesce(F.element_at(fields, "content"), F.lit("null"))}))
+    plain = F.concat_ws(",", F.concat(F.lit('"content":'), text(F.col("text"))), F.concat(F.lit('"role":'), role))
+    json = json.otherwise(F.concat(F.lit("{"), plain, F.lit("}")))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
         "conv_id", "turn", "role",
         F.coalesce("c_anchor", "r_anchor", "at").alias("anchor"), F.coalesce("c_level", "r_level", F.lit(0)).cast("int").alias("level"), F.when(F.col("r_status").isNotNull(), 1).otherwise(0).alias("step"),
-        n("n_calls"), n("n_linked"), n("n_invalid"), F.coalesce("r_status", F.get(names_, F.col("worst"))).alias("status"), F.concat(F.lit("{"), body, F.lit("}")).alias("json"),
+        n("n_calls"), n("n_linked"), n("n_invalid"), F.coalesce("r_status", F.get(names_, F.col("worst"))).alias("status"), json.alias("json"),
     )
 
 
 def _quoted(text: Column) -> Column:
     """A string as JSON."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1)
-
-
-def _pair(name: str, value: Column) -> Column:
-    """name and the JSON of a string or list of strings; nothing for null."""
-    return F.when(value.isNotNull(), F.concat(F.lit(name), F.regexp_extract(F.to_json(F.struct(value.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1))).otherwise("")
