@@ -30,3 +30,24 @@ def test_keys_beside_calls_and_results_stay(spark):
     # more than one object, or one that isn't clear, is content as it stands
     for i in range(4, 9):
         assert json.loads(got[i].json) == {"content": texts[i][1], "role": texts[i][0]} and got[i].n_calls == 0
+
+
+def test_arguments_are_checked_at_any_depth(spark):
+    point = {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}, "additionalProperties": False}
+    schema = {"type": "object", "required": ["unit"], "properties": {"unit": {"enum": ["m", 2, None]}, "at": {"type": ["object", "null"], "properties": {"deep": {"type": "array", "items": {"type": "array", "items": point}}}}}, "additionalProperties": {"type": "string"}}
+    more = {"properties": {"n": {"type": "integer", "minimum": 3}}}
+    cases = [
+        ("f", {"unit": "m"}, "ok"), ("f", {"unit": 2, "at": None, "z": "text"}, "ok"), ("f", {"unit": None, "at": {"deep": [[{"x": 1}], []]}}, "ok"),
+        ("f", {"unit": "km"}, "invalid"), ("f", {}, "invalid"), ("f", {"unit": "m", "z": 1}, "invalid"), ("f", {"unit": "m", "at": 3}, "invalid"),
+        ("f", {"unit": "m", "at": {"deep": [[{"x": 1}, {}]]}}, "invalid"), ("f", {"unit": "m", "at": {"deep": [[{"x": "1"}]]}}, "invalid"),
+        ("f", {"unit": "m", "at": {"deep": [[{"x": 1, "y": 2}]]}}, "invalid"), ("f", {"unit": "m", "at": {"deep": [{"x": 1}]}}, "invalid"), ("f", [], "invalid"),
+        ("g", {"n": 1}, "unchecked"), ("g", {"n": "1"}, "invalid"), ("g", {}, "ok"), ("h", {"any": 1}, "ok"), ("i", {}, "unknown_tool"),
+    ]
+    tools = [{"name": "f", "parameters": schema}, {"name": "g", "parameters": more}, {"name": "h"}]
+    rows = [(1, 0, "system", json.dumps({"tools": tools}))]
+    for i, (name, arguments, _) in enumerate(cases):
+        rows.append((1, 2 * i + 1, "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": name, "arguments": arguments}]})))
+        rows.append((1, 2 * i + 2, "tool", json.dumps({"tool_call_id": f"c{i}", "content": i})))
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[2 * i + 1].status for i in range(len(cases))] == [c[2] for c in cases]
+    assert [got[2 * i + 1].n_invalid for i in range(len(cases))] == [int(c[2] in ("invalid", "unknown_tool")) for c in cases]

@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-TOOLS = "struct<tools:array<struct<name:string,parameters:struct<required:array<string>,properties:map<string,struct<type:string>>>>>>"
+TOOLS = "struct<tools:array<struct<name:string,parameters:variant>>>"
+TYPES = ("string", "integer", "number", "boolean", "object", "array", "null")
+#: keywords of a schema that are checked, and those that say nothing about a value
+CHECKED = ("type", "enum", "required", "properties", "additionalProperties", "items")
+NOTES = ("title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly")
 
 
 def _parsed(role: str, schema: str) -> Column:
@@ -80,13 +84,41 @@ def _fits(kind: Column, type_: Column) -> Column:
     )
 
 
+def _judged(ws: Workspace, pairs: DataFrame) -> DataFrame:
+    """pairs (mid, pos, v: value, s: schema) -> mid, pos, bad (a value breaks its schema), open (a schema says more than is
+    checked).  Each round judges the pairs of one depth and goes on to the values inside of them, until there are none."""
+    none = "cast(map() as map<string,variant>)"
+    known = ", ".join(f"'{k}'" for k in CHECKED + NOTES)
+    found, level = None, ws.keep(pairs)
+    while True:
+        x = level.selectExpr(
+            "mid", "pos", "v", "s", "schema_of_variant(v) as kind", "schema_of_variant(s) as form", "try_variant_get(v, '$', 'map<string,variant>') as fields", f"coalesce(try_variant_get(s, '$.properties', 'map<string,variant>'), {none}) as props",
+            "filter(coalesce(try_variant_get(s, '$.type', 'array<string>'), array(try_variant_get(s, '$.type', 'string'))), t -> t is not null) as types", "try_variant_get(s, '$.enum', 'array<variant>') as enum", "try_variant_get(s, '$.required', 'array<string>') as required",
+            "case when try_variant_get(s, '$.patternProperties', 'variant') is null then try_variant_get(s, '$.additionalProperties', 'variant') end as more", "try_variant_get(s, '$.items', 'variant') as items",
+        )
+        no = lambda c: F.coalesce(c, F.lit(False))
+        wrong = (F.size("types") > 0) & ~F.exists("types", lambda t: no(_fits(F.col("kind"), t)))
+        broken = no(wrong) | F.expr("coalesce(not exists(enum, e -> to_json(e) = to_json(v)), false) or coalesce(exists(required, n -> not map_contains_key(fields, n)), false) or (form = 'BOOLEAN' and not try_variant_get(s, '$', 'boolean'))")
+        further = no(F.exists("types", lambda t: ~t.isin(*TYPES))) | F.expr(f"case when form like 'OBJECT%' then size(array_except(map_keys(try_variant_get(s, '$', 'map<string,variant>')), array({known}))) > 0 else form not in ('BOOLEAN', 'VOID') end")
+        now = x.select("mid", "pos", broken.alias("bad"), further.alias("open")).where("bad or open")
+        found = now if found is None else found.union(now)
+        inside = F.expr("""concat(
+            coalesce(transform(map_entries(map_filter(fields, (k, w) -> map_contains_key(props, k))), e -> struct(e.value as v, element_at(props, e.key) as s)), array()),
+            coalesce(case when more is not null then transform(map_entries(map_filter(fields, (k, w) -> not map_contains_key(props, k))), e -> struct(e.value as v, more as s)) end, array()),
+            coalesce(case when items is not null then transform(try_variant_get(v, '$', 'array<variant>'), w -> struct(w as v, items as s)) end, array()))""")
+        level = ws.keep(x.select("mid", "pos", F.explode(inside).alias("p")).selectExpr("mid", "pos", "coalesce(p.v, parse_json('null')) as v", "coalesce(p.s, parse_json('null')) as s"))
+        if level.isEmpty():
+            return found.groupBy("mid", "pos").agg(F.max("bad").alias("bad"), F.max("open").alias("open"))
+
+
 def format_chats(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text, ...) -> one row per row: conv_id, turn, role, anchor, level, step (the sort
     key within the conversation), n_calls, n_linked, n_invalid, status, json.
 
-    status: null for plain messages; for calls the worst of ok, unanswered, invalid, unknown_tool, cycle,
-    duplicate; for results ok, orphan, repeated (a later result of an answered call).  A call is invalid if a
-    required argument is missing or one has another type than its schema says, and unknown_tool if its
+    status: null for plain messages; for calls the worst of ok, unanswered, unchecked, invalid, unknown_tool, cycle,
+    duplicate; for results ok, orphan, repeated (a later result of an answered call).  A call is invalid if its
+    arguments break type, enum, required, properties, additionalProperties or items of the schema at any depth,
+    unchecked if they don't but the schema says more (other keywords or types), and unknown_tool if its
     conversation declares tools but not this one; a conversation without declarations isn't validated.  json
     is the message with sorted keys: content, role, tool_calls, tool_call_id, as far as present, and the other keys of a
     call's or result's object (a role there that differs from the row's is named text.role).  A null role
@@ -108,14 +140,10 @@ def format_chats(messages: DataFrame) -> DataFrame:
     declared = declared.select("conv", "tool.*").where("name is not null").groupBy("conv", "name").agg(F.first("parameters", True).alias("parameters"), F.lit(True).alias("declared"))
     with_tools = declared.select("conv").distinct().withColumn("checked", F.lit(True))
     calls = calls.join(declared, ["conv", "name"], "left").join(with_tools, "conv", "left")
-    # a value is looked at only by its top-level names: arguments.name as text of its kind
-    names = F.coalesce(F.map_keys("parameters.properties"), F.expr("cast(array() as array<string>)"))
-    kinds = F.coalesce(F.from_json(F.to_json("arguments"), "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
-    calls = calls.withColumn("kinds", F.transform_values(kinds, lambda _, v: F.schema_of_variant(v)))
-    missing = F.exists(F.coalesce("parameters.required", F.expr("cast(array() as array<string>)")), lambda n: ~F.map_contains_key("kinds", n))
-    wrong = F.exists(names, lambda n: F.map_contains_key("kinds", n) & ~F.coalesce(_fits(F.element_at("kinds", n), F.element_at("parameters.properties", n)["type"]), F.lit(True)))
     shape = F.coalesce(~F.schema_of_variant("arguments").startswith("OBJECT"), F.lit(False)) & F.col("declared")
-    fault = F.when(F.col("checked") & F.col("declared").isNull(), "unknown_tool").when(F.coalesce(missing | wrong | shape, F.lit(False)), "invalid")
+    judged = _judged(ws, calls.where("parameters is not null").select("mid", "pos", F.coalesce("arguments", F.expr("parse_json('{}')")).alias("v"), F.col("parameters").alias("s")))
+    calls = calls.join(judged, ["mid", "pos"], "left")
+    fault = F.when(F.col("checked") & F.col("declared").isNull(), "unknown_tool").when(F.coalesce(F.col("bad"), F.lit(False)) | F.coalesce(shape, F.lit(False)), "invalid").when(F.col("open"), "unchecked")
     calls = ws.keep(calls.select("conv", "mid", "pos", "at", "id", "duplicate", "depends_on", fault.alias("fault")))
 
     results = rows.where("result_of is not null").select(conv.alias("conv"), "mid", "at", F.col("result_of").alias("id"))
@@ -138,9 +166,9 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     state = calls.join(done, ["conv", "id"], "left").join(answers, ["conv", "id"], "left")
     cyclic = F.col("id").isNotNull() & ~F.col("duplicate") & F.col("level").isNull()
-    status = F.when(F.col("duplicate"), 5).when(cyclic, 4).when(F.col("fault") == "unknown_tool", 3).when(F.col("fault") == "invalid", 2).when(F.col("answered").isNull(), 1).otherwise(0)
+    status = F.when(F.col("duplicate"), 6).when(cyclic, 5).when(F.col("fault") == "unknown_tool", 4).when(F.col("fault") == "invalid", 3).when(F.col("fault") == "unchecked", 2).when(F.col("answered").isNull(), 1).otherwise(0)
     per_call = state.groupBy("mid").agg(
-        F.count("*").alias("n_calls"), F.count_if(F.col("answered").isNotNull() & ~F.col("duplicate")).alias("n_linked"), F.count_if(F.col("fault").isNotNull()).alias("n_invalid"),
+        F.count("*").alias("n_calls"), F.count_if(F.col("answered").isNotNull() & ~F.col("duplicate")).alias("n_linked"), F.count_if(F.col("fault") != "unchecked").alias("n_invalid"),
         F.max(status).alias("worst"), F.max("level").alias("c_level"), F.max("anchor").alias("c_anchor"),
     )
     owner = calls.where("id is not null and not duplicate").join(done, ["conv", "id"], "left").select("conv", "id", F.coalesce("anchor", "at").alias("o_anchor"), F.coalesce("level", F.lit(0)).alias("o_level"), F.lit(True).alias("owned"))
@@ -149,7 +177,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     per_result = per_result.select("mid", F.when(F.col("owned").isNull(), "orphan").when(repeated, "repeated").otherwise("ok").alias("r_status"), F.greatest("at", "o_anchor").alias("r_anchor"), F.col("o_level").alias("r_level"))
 
     out = rows.join(per_call, "mid", "left").join(per_result, "mid", "left")
-    names_ = F.array(*[F.lit(x) for x in ("ok", "unanswered", "invalid", "unknown_tool", "cycle", "duplicate")])
+    names_ = F.array(*[F.lit(x) for x in ("ok", "unanswered", "unchecked", "invalid", "unknown_tool", "cycle", "duplicate")])
     text = lambda c: F.when(c.isNotNull(), _quoted(c))
     call_json = F.transform(
         "calls", lambda c: F.coalesce(_written(_fields(c["all"]), {"id": text(c["id"]), "name": text(c["name"]), "arguments": F.coalesce(canonical(c["arguments"]), F.lit("null"))}), canonical(c["all"]))
