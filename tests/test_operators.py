@@ -176,3 +176,20 @@ def test_stream(spark, tmp_path):
     drain()  # nothing new: nothing is written twice
     assert len(store.meta().collect()) == 2
     assert list(itertools.chain(*[[bytes(r.key)] for r in store.scan().collect()])) == [b"b"]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_sequenced_rows_with_payload(spark, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 120_000
+        df = spark.range(n).select(F.floor(F.col("id") / 50_000).alias("segment"), F.col("id").alias("event_id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 10).alias("payload"))
+        df = df.repartition(7, F.xxhash64("event_id"))
+        r = versions.sequenced(df, "segment", "event_id").agg(F.count("*"), F.count_if(F.col("seq") != F.col("event_id") + 1), F.count_distinct("seq")).first()
+        assert tuple(r) == (n, 0, n)
+        ties = spark.createDataFrame([(None, 1), (2, 1), (2, 1), (1, None), (2, 0)], "a int, b int")
+        got = sorted((r.seq, r.a, r.b) for r in versions.sequenced(ties, "a", "b", bins=2).collect())
+        assert got == [(1, None, 1), (2, 1, None), (3, 2, 0), (4, 2, 1), (5, 2, 1)]
+        assert versions.sequenced(ties.where("a > 5"), "a", "b").collect() == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -82,13 +82,20 @@ def merge_compact_python(df: DataFrame, reduce_: Callable, schema: str = "key bi
     return df.select("key", "value", "gen").groupBy("key").applyInPandas(apply, schema)
 
 
-def sequenced(df: DataFrame, *order: str) -> DataFrame:
-    """seq from 1 in the order given.  The order is global, so this is for log segments, not for whole lakes:
-    rows are ranked within ranges of the order and shifted by counts, never in one task."""
+def sequenced(df: DataFrame, *order: str, bins: int = 128) -> DataFrame:
+    """seq from 1 in the order given: rows are ranked within bins of the order, and the bins' counts shift the ranks.
+
+    Bins lie between quantiles of a sample of `20 * bins` rows, which decides nothing but where they begin.  The
+    bounds are values, so that both passes over df put a row into the same bin, however Spark splits or merges
+    partitions.  Rows that tie in all of the order take any of their places, once each; nulls come first.
+    """
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").count()
-    before = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(before), "__part").withColumn("seq", F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
+    kinds = [f.dataType for f in df.select(*order).schema]
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(20 * bins).distinct().orderBy(*order).collect()
+    ends = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, r, kinds)]) for r in sample[:: max(1, len(sample) // bins)]]
+    at = F.size(F.filter(F.array(*ends), lambda end: end <= F.struct(*order))) if ends else F.lit(0)
+    binned = df.withColumn("__bin", at)
+    before = binned.groupBy("__bin").count().select("__bin", F.coalesce(F.sum("count").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = binned.withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy(*order)))
+    return ranked.join(F.broadcast(before), "__bin").withColumn("seq", F.col("__before") + F.col("__n")).drop("__bin", "__n", "__before")

@@ -54,7 +54,7 @@ M = "m as (select event_id as seq, lpad(cast(user_id as varchar), 10, '0') as \"
 T_ = M + ', t as (select "key", value, gen from (select *, row_number() over (partition by "key", gen order by seq desc) as rn from m) where rn = 1)'
 LATEST = ', r as (select *, row_number() over (partition by "key" order by gen desc) as rn from t), l as (select "key", value, gen from r where rn = 1)'
 O = "o as (select lpad(cast(o_orderkey as varchar), 10, '0') as \"key\", o_orderpriority as value from orders)"
-P = "p as (select lpad(cast(c_custkey as varchar), 10, '0') as \"key\" from customer where c_custkey < 200)"
+P = "p as (select lpad(cast(c_custkey as varchar), 10, '0') as \"key\" from customer)"
 META = ', meta as (select gen, count(*) as num_records, count(*) - count(value) as null_values, min("key") as min_key, max("key") as max_key, cast(sum(coalesce(strlen(value), 0)) as bigint) as data_bytes, cast(sum(strlen("key")) as bigint) as index_bytes, cast(sum(coalesce(strlen(value), 0) + strlen("key")) as bigint) as total_bytes from t group by gen)'
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,15 +114,16 @@ def kv_point_get(spark, d):
     return versions.keep_latest(lookup.get(_tables(spark, d), "0000000007")).select("key", "value")
 
 
-_LAYERS = ', x as (select "key", value, gen from t where gen < 8 union all select "key", value, 100 from t where gen = 8 and "key" < \'0000000060\' union all select "key", value, 101 from t where gen = 9 and "key" < \'0000000030\'), y as (select *, row_number() over (partition by "key" order by gen desc) as rn from x)'
+#: the generations from the newest (nth 1: the write store, nth 2: the read store, else tables)
+_NTH = ', nth as (select gen, row_number() over (order by gen desc) as nth from (select distinct gen from t where gen is not null)), x as (select "key", value, nth from t join nth using (gen)), y as (select *, row_number() over (partition by "key" order by nth) as rn from x)'
 
 
-@query(_with(T_, _LAYERS, ", ", P, select="select p.\"key\", case when y.\"key\" is null or length(value) = 0 then 'NOT_FOUND' when value is null then 'TOMBSTONED' else 'FOUND' end as status, value from p left join (select * from y where rn = 1) y using (\"key\")"))
+@query(_with(T_, _NTH, ", ", P, select="select p.\"key\", case when y.\"key\" is null or length(value) = 0 then 'NOT_FOUND' when value is null then 'TOMBSTONED' else 'FOUND' end as status, value from p left join (select * from y where rn = 1) y using (\"key\")"))
 def kv_layered_get(spark, d):
     return lookup.get_many(lookup.layered(*_layers(spark, d)), _probes(spark, d), empty_is_missing=True)
 
 
-@query(_with(T_, ", ", P, select='select p."key", coalesce(bool_or(value is not null and gen = 9) or bool_or(value is not null and gen = 8), false) as "either", case when bool_or(gen = 9) then bool_or(gen = 9 and value is not null) else coalesce(bool_or(value is not null), false) end as live from p left join (select * from t where gen in (8, 9)) t using ("key") group by p."key"'))
+@query(_with(T_, _NTH, ", ", P, select='select p."key", coalesce(bool_or(value is not null), false) as "either", coalesce(bool_or(rn = 1 and value is not null), false) as live from p left join (select * from y where nth <= 2) y using ("key") group by p."key"'))
 def rw_contains(spark, d):
     _, read, write = _layers(spark, d)
     return memstore.rw_contains(write, read, _probes(spark, d))
@@ -179,7 +180,8 @@ def merge_disjoint(spark, d):
 @query(_with(T_, select='select "key", value, gen from t'))
 def merge_ordered_dups(spark, d):
     t = _tables(spark, d)
-    return t.orderBy("key", "gen")
+    halves = [t.where("gen % 2 = 0"), t.where("gen % 2 = 1")]
+    return versions.merge_ordered([h.withColumn("made", F.col("gen")) for h in halves]).select("key", "value", F.col("made").alias("gen"))
 
 
 @query(_with(T_, select='select "key", value from (select *, row_number() over (partition by "key" order by gen) as rn from t) where rn = 1 and value is not null'))
@@ -338,7 +340,7 @@ def value_checksums(spark, d):
     return _orders(spark, d).select("key", F.hex(crc64_iso_udf(F.encode("value", "UTF-8"))).alias("checksum"))
 
 
-@query(_with(O, select="select hex(encode(\"key\")) as key_hex, value from o where \"key\" < '0000000100'"))
+@query(_with(O, select="select hex(encode(\"key\")) as key_hex, value from o"))
 def key_bytes(spark, d):
     from ..functions.keys import text_key
 
