@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 from tests.llm import brute
-from tidemark.llm import linededup
+from tidemark.llm import common, linededup
 
 
 def corpus():
@@ -9,7 +11,7 @@ def corpus():
     vocab = ["".join(rng.choices("abcdefé", k=rng.randint(1, 4))) for _ in range(400)]
     lines = [" ".join(rng.choices(vocab, k=rng.choice([1, 2, 3, 4, 5, 8, 20, 40]))) for _ in range(120)]
     base = rng.choices(vocab, k=30)
-    for i in range(100):  # more near copies than HOT
+    for i in range(100):
         copy = list(base)
         copy[i % 30] = f"n{i}"
         lines.append(" ".join(copy))
@@ -28,7 +30,13 @@ def corpus():
     return rows + [(200, ""), (201, None), (202, "\n \n"), (203, "word " * 3000), (None, rows[0][1]), rows[5], (7, "a second text\nof a repeated id")]
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "BLOCK": 3, "CHUNK": 40}, {"HOT": 1, "LEVELS": 1, "BLOCK": 5, "BROADCAST_ROWS": 0, "BROADCAST_LINES": 0}])
+def test_brute_force(spark, monkeypatch, limits):
+    """Also with lists of three postings split by the words that follow and in blocks, and without broadcasts."""
+    for name, value in limits.items():
+        monkeypatch.setattr(linededup, name, value)
+        if hasattr(common, name):
+            monkeypatch.setattr(common, name, value)
     rows = corpus()
     df = spark.createDataFrame([(d, t, "s", 1, "z") for d, t in rows], "doc_id long, text string, hash string, line int, n_lines string")
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["hash"]) for r in linededup.line_dedup(df).collect()), key=str)

@@ -30,14 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system; at the end of the driver, only if its session is still there."""
+    if spark.sparkContext._jsc is None:
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], ignore_errors=True)
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Workspace:
     """Written tables of one query: keep() cuts the lineage, so that a lost executor costs only the stage it
     was in; drop() deletes tables that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        if self.root.startswith("file://"):
-            atexit.register(shutil.rmtree, self.root[7:], ignore_errors=True)
+        atexit.register(_delete, spark, self.root)
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -50,9 +59,7 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.paths.pop(id(df))
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, self.paths.pop(id(df)))
 
 
 #: rows of a few numbers each that may be broadcast, some 50 MB
@@ -66,6 +73,18 @@ def light(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, like those given."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[dict[str, object]]]) -> DataFrame:
     """mapInArrow by a function from a batch to dicts of columns (lists or arrays) of that schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

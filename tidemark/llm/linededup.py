@@ -8,17 +8,21 @@ first line of a class, and for that one if its class is linked to a class that b
 Links between classes come from a prefix-filtered join: words are ordered by rarity over all documents (by
 counts in BUCKETS hash buckets, a fixed size, then by hash - any order gives the same result), and two sets of
 n and m words can only be linked if their prefixes of n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 words meet.
-Sizes (0.8 n <= m <= n / 0.8), the places of the first common word, and the parity bitmaps of the sets (whose
-distance is at most that of the sets) bound the overlap further; what remains is verified on the full sets.
-
-As a line needs one earlier match only, words on the prefixes of more than HOT classes are first joined with
-the earliest class of their list alone; classes so matched are removed and look no further, although others
-may still match them.  A group of near copies is thus linear in its size.
+One shuffle brings the postings of a word together, sorted by size; a posting is four numbers.  Sizes
+(0.8 n <= m <= n / 0.8), the places of the first common word, and 128-bit parity maps of the sets (whose
+distance is at most that of the sets) bound the overlap; what remains is verified on the full sets, each
+later line's earliest candidate first, and the others only for lines that this leaves.
+
+Lists of more than HOT postings leave that pass by name alone.  As a line needs one earlier match only, their
+lines first meet the earliest line of each list; lines so matched look no further, although others may still
+match them.  Lists on which too much is left are split by the word that follows in order: linked sets that
+share a word share one more among the next, as the prefix is lengthened by one word each time.  What is
+still too long after LEVELS words is joined in blocks.  A group of near copies is thus linear in its size.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import BROADCAST_ROWS, Workspace, arrow_map, light
+from .common import BROADCAST_ROWS, Workspace, arrow_map, light, unused
 
 BUCKETS, SEGMENTS = 1 << 19, 64
-HOT = 64
+#: a list is joined at once up to HOT postings, and later up to HOT ** 2 pairs; words of a key at most; postings a block
+HOT, LEVELS, BLOCK = 256, 3, 1024
+#: postings of one pass in numpy, and pairs looked at together
+CHUNK, PAIRS = 100_000, 500_000
 #: removed lines that may be broadcast with their documents' ids
 BROADCAST_LINES = 4_000_000
 
@@ -86,16 +93,18 @@ def _sorted_sets(run: list[bytes], rarity: np.ndarray | None) -> tuple[np.ndarra
     return hashes[fresh], np.bincount(line[fresh].astype(np.intp), minlength=len(run))
 
 
-def _names(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit name of each set, and its parity bitmap."""
+def _names(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit name of each set, and the two halves of its parity map."""
     some = sizes > 0
     starts = (np.cumsum(sizes) - sizes)[some]
-    names, maps = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+    names, one, two = (np.zeros(len(sizes), np.uint64) for _ in range(3))
     if len(starts):
         total = np.add.reduceat(kernels.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
         names[some] = kernels.mix(total + sizes[some].astype(np.uint64))
-        maps[some] = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), starts)
-    return names.view(np.int64), maps.view(np.int64)
+        bit, high = np.uint64(1) << (hashes & np.uint64(63)), hashes & np.uint64(64) > 0
+        one[some] = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
+        two[some] = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
+    return names.view(np.int64), one.view(np.int64), two.view(np.int64)
 
 
 def _lines(texts: list[str | None]):
@@ -115,13 +124,11 @@ def _index(rarity_data: bytes):
         rarity = _classes(rarity_data)
         for owner, number, run in _lines(batch.column("text").to_pylist()):
             hashes, sizes = _sorted_sets(run, rarity)
-            names, maps = _names(hashes, sizes)
-            prefix = sizes - (4 * sizes + 4) // 5 + 1
+            names, one, two = _names(hashes, sizes)
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            # sets of up to three words are linked with equal ones only; words that occur once link nothing, and
-            # as they come first, the places of the others follow from their number
-            wanted = (place < np.repeat(prefix, sizes)) & np.repeat(sizes > 3, sizes) & (rarity[_bucket(hashes)] > 64)
-            per = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[wanted], minlength=len(sizes))
+            # sets of up to three words are linked with equal ones only
+            per = np.where(sizes > 3, np.minimum(sizes, sizes - (4 * sizes + 4) // 5 + LEVELS), 0)
+            wanted = place < np.repeat(per, sizes)
             some = sizes > 0
             ends = np.zeros(int(some.sum()) + 1, np.int32)
             np.cumsum(per[some], out=ends[1:])
@@ -131,17 +138,120 @@ def _index(rarity_data: bytes):
                 "line": number[some],
                 "node": names[some],
                 "n": sizes[some].astype(np.int32),
-                "bits": maps[some],
+                "one": one[some],
+                "two": two[some],
                 "words": pa.ListArray.from_arrays(pa.array(ends), pa.array((hashes[wanted] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
             }
 
     return f
 
 
+def _near(key, size, done, side, node, one, two):
+    """Pairs (indices) of rows with one key, sorted by key, whose sets may reach 0.8; of two one isn't done.
+
+    size: the number of words << 8 | the place of the last common word, less those that are known to be shared
+    (at most 255: a smaller place only bounds less).  side: 0, or 1 and 2, which then meet across only.
+    """
+    group = np.zeros(len(key), np.int64)
+    np.cumsum(key[1:] != key[:-1], out=group[1:])
+    n, place = size >> 8, size & 255
+    order = np.lexsort((n, done, group))
+    n_, free = n[order], ~done[order]
+    at = group[order] << 33
+    spot = at | done[order].astype(np.int64) << 32 | n_
+    for other in (False, True):
+        if other:  # those that are done
+            low, high = np.searchsorted(spot, at | 1 << 32 | -(-n_ * 4 // 5)), np.searchsorted(spot, at | 1 << 32 | n_ * 5 // 4, "right")
+            count = np.where(free, high - low, 0)
+        else:  # the larger of two
+            low = np.arange(1, len(n_) + 1)
+            high = np.searchsorted(spot, at | n_ * 5 // 4, "right")
+            count = np.where(free & (9 * place[order] <= n_), np.maximum(high - low, 0), 0)
+        sums = np.concatenate([[0], np.cumsum(count)])
+        first = 0
+        while first < len(count):
+            last = max(first + 1, int(np.searchsorted(sums, sums[first] + PAIRS, "right")) - 1)
+            c = count[first:last]
+            i = np.repeat(np.arange(first, last), c)
+            j = order[np.repeat(low[first:last] - (sums[first:last] - sums[first]), c) + np.arange(len(i))]
+            i = order[i]
+            total = n[i] + n[j]
+            good = (9 * np.minimum(n[i] - place[i], n[j] - place[j]) >= 4 * total) & (node[i] != node[j])
+            i, j, total = i[good], j[good], total[good]
+            # of signed numbers, numpy counts the bits of the absolute value
+            apart = np.bitwise_count((one[i] ^ one[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((two[i] ^ two[j]).view(np.uint64))
+            good = 9 * apart <= total
+            i, j = i[good], j[good]
+            good = (side[i] != side[j]) | (side[i] == 0)
+            yield i[good], j[good]
+            first = last
+
+
+def _lists(hot: int | None):
+    """Postings sorted by key -> pairs (a, b) of nodes; a list of more than `hot` postings gives (key, null) instead.
+
+    Rows are (k, node, one, two), k being key << 32 | size, or (key, size, mark, node, one, two), mark being
+    side << 1 | done.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+        got = [np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(batches[0].num_columns)]
+        if len(got) == 4:
+            none = np.zeros(len(got[0]), np.int64)
+            got = [got[0] >> 32, got[0] & 0xFFFFFFFF, none, *got[1:]]
+        return got
+
+    def out(a, b=None):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], schema=schema)
+
+    def near(key, size, mark, node, one, two):
+        found = [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]) for i, j in _near(key, size, mark & 1 > 0, mark >> 1, node, one, two)]
+        if found:
+            a, b = np.unique(np.concatenate(found, 1), axis=1)
+            yield out(a, b)
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        long: int | None = None  # the list that is passed over
+        waiting: list[pa.RecordBatch] = []
+
+        def work(now: list[np.ndarray], final: bool):
+            nonlocal long
+            if long is not None:
+                now = [x[now[0] != long] for x in now]
+            if not len(now[0]):
+                return now
+            starts = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1])
+            sizes = np.diff(np.concatenate([starts, [len(now[0])]]))
+            cut = len(now[0]) if final else int(starts[-1])
+            over = np.zeros(len(starts), bool) if hot is None else sizes > hot
+            if over[-1]:
+                cut, long = len(now[0]), int(now[0][-1])
+            some = np.repeat(~over, sizes)
+            some[cut:] = False
+            if over.any():
+                yield out(now[0][starts[over]])
+            yield from near(*(x[some] for x in now))
+            return [x[cut:] for x in now]
+
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= CHUNK:
+                now = columns(waiting)
+                waiting = []
+                held = yield from work([np.concatenate(x) for x in zip(held, now)] if held else now, False)
+        if waiting or held:
+            now = columns(waiting) if waiting else held
+            yield from work([np.concatenate(x) for x in zip(held, now)] if held and waiting else now, True)
+
+    return run
+
+
 def _full(batch: pa.RecordBatch):
     for _, _, run in _lines(batch.column(0).to_pylist()):
         hashes, sizes = _sorted_sets(run, None)
-        names, _ = _names(hashes, sizes)
+        names = _names(hashes, sizes)[0]
         some = sizes > 3
         keep = np.repeat(some, sizes)
         ends = np.zeros(int(some.sum()) + 1, np.int32)
@@ -150,57 +260,115 @@ def _full(batch: pa.RecordBatch):
 
 
 def _bounds(a: str, b: str) -> Column:
-    """Whether the sizes, places and bitmaps of two postings let their sets reach 0.8."""
+    """Whether the sizes, places and maps of two postings let their sets reach 0.8."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    apart = sum(F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in ("one", "two"))
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * rest >= 4 * (n + m)) & (n + m >= 9 * apart)
 
 
+def _size(place: str) -> str:
+    return f"shiftleft(cast(least(n, {(1 << 23) - 1}) as bigint), 8) | least({place}, 255)"
+
+
+class _Join:
+    """The set-similarity join of the heads (doc_id, line, node, n, one, two, words) of docs (doc_id, text)."""
+
+    def __init__(self, ws: Workspace, docs: DataFrame, heads: DataFrame):
+        self.ws, self.docs, self.heads = ws, docs, heads.where("n > 3")
+        # the words of a head's prefix
+        self.prefix = "n - ceil(n * 4 / 5) + 1"
+        #: nodes known to be linked with an earlier one
+        self.gone: DataFrame = ws.keep(ws.spark.range(0).select(F.col("id").alias("node")))
+
+    def first(self) -> DataFrame:
+        """The links of all lists up to HOT; returns the longer ones' names (key)."""
+        rows = self.heads.select("node", "one", "two", "n", F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word"))
+        rows = rows.selectExpr(f"shiftleft(cast(word as bigint), 32) | {_size('at')} as k", "node", "one", "two")
+        rows = rows.repartition(F.shiftright("k", 32)).sortWithinPartitions("k")
+        found = self.ws.keep(rows.mapInArrow(_lists(HOT), "a long, b long"))
+        self.verify(found.where("b is not null").distinct())
+        return self.ws.keep(found.where("b is null").select(F.col("a").alias("key")))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds to gone what the full sets confirm: of each pair (a, b) the later one, unless it is known."""
+        ws, pairs = self.ws, self.ws.keep(pairs)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = ws.keep(ends.join(self.heads.select("node", "doc_id", "line"), "node"))
+        end = lambda x: ends.select(F.col("node").alias(x), F.struct("doc_id", "line").alias(f"at_{x}"))
+        both = pairs.join(end("a"), "a").join(end("b"), "b")
+        swap = F.col("at_a") > F.col("at_b")
+        pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+        both = both.select(pick("a", "b").alias("early"), pick("b", "a").alias("node"), F.least("at_a", "at_b").alias("at"))
+        both = ws.keep(both.join(light(self.gone), "node", "left_anti"))
+        texts = self.docs.join(light(ends.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
+        full = arrow_map(texts, "node long, words array<long>", _full).join(light(both.select(F.explode(F.array("early", "node")).alias("node")).distinct()), "node", "left_semi")
+        full = ws.keep(full.dropDuplicates(["node"]))
+
+        def confirmed(these: DataFrame) -> DataFrame:
+            sets = these.join(full.select(F.col("node").alias("early"), F.col("words").alias("x")), "early").join(full.select("node", F.col("words").alias("y")), "node")
+            common = sets.select("node", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+            return common.where("9 * common >= 4 * total").select("node").distinct()
+
+        one = ws.keep(confirmed(both.groupBy("node").agg(F.min_by("early", "at").alias("early"))))
+        rest = confirmed(both.join(light(one), "node", "left_anti"))
+        self.gone = ws.keep(self.gone.union(one).union(rest))
+        ws.drop(pairs, ends, both, full)
+
+    def rest(self, hot: DataFrame) -> None:
+        """The links of the lists of these keys."""
+        ws = self.ws
+        rows = self.heads.select("node", "doc_id", "line", "n", "one", "two", "words", F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word"))
+        rows = ws.keep(rows.withColumn("key", F.col("word").cast("long")).drop("word").join(light(hot), "key", "left_semi"))
+        leads = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "one", "two", "at"), F.struct("doc_id", "line")).alias("l")).select("key", "l.*")
+        led = rows.alias("p").join(light(ws.keep(leads)).alias("l"), "key").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
+        self.verify(led.select(F.least("l.node", "p.node").alias("a"), F.greatest("l.node", "p.node").alias("b")).distinct())
+        done = light(self.gone.withColumn("known", F.lit(1)))
+        state = rows.join(done, "node", "left").select("key", "node", "n", "one", "two", "words", "at", F.coalesce("known", F.lit(0)).alias("done"))
+        ready = []
+        for level in range(1, LEVELS + 1):
+            # a list without a line that still looks for a match is of no use
+            lists = state.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("done") == 0).alias("free")).where("free > 0 and members > 1")
+            lists = ws.keep(lists.select("key", "members", (F.col("members") * F.col("free") <= HOT * HOT).alias("short")))
+            state = ws.keep(state.join(light(lists), "key"))
+            posting = ["key", f"{_size(f'greatest(at - {level - 1}, 0)')} as size", "node", "one", "two", "done as mark"]
+            ready.append(state.where("short").selectExpr(*posting))
+            if level < LEVELS:
+                # the words that follow, of the prefix longer by one for each word of the key
+                more = f"sequence(at + 1, cast(least(size(words), {self.prefix} + {level}) as int) - 1)"
+                longer = state.where(f"not short and at + 1 < least(size(words), {self.prefix} + {level})").select("key", "node", "n", "one", "two", "words", "done", F.explode(F.expr(more)).alias("at"))
+                state = longer.withColumn("key", F.xxhash64("key", F.expr("words[at]")))
+        # the longest lists in blocks: each pair of blocks has a key of its own
+        blocks = state.where("not short").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        blocks = blocks.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        blocks = blocks.withColumns({"key": F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), "mark": F.col("done") + 2 * side})
+        ready.append(blocks.selectExpr("key", f"{_size(f'greatest(at - {LEVELS - 1}, 0)')} as size", "node", "one", "two", "mark"))
+        whole = reduce(DataFrame.unionByName, ready).selectExpr("key", "size", "cast(mark as bigint) as mark", "node", "one", "two")
+        found = whole.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(None), "a long, b long")
+        self.verify(found.distinct())
+
+
 def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     """docs (doc_id not null, hash, text) -> doc_id, hash, line: the lines that an earlier line matches."""
     counts = word_counts(docs)
     rarity = np.minimum(np.log2(counts + 1) * 64, 4095).astype(np.uint16).tobytes()
-    schema = "doc_id long, hash long, line int, node long, n int, bits long, words array<int>"
+    schema = "doc_id long, hash long, line int, node long, n int, one long, two long, words array<int>"
     lines = ws.keep(arrow_map(docs, schema, _index(rarity)))
-    # (doc_id, line) as one number, whose minimum a hash aggregate can keep
+    # where sets that more than one line has begin: (doc_id, line) as one number, whose minimum a hash aggregate can keep
     order = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line")
-    firsts = lines.groupBy("node").agg(F.min(order).alias("first"))
-    ranked = ws.keep(lines.join(firsts, "node").withColumn("head", F.col("first") == order).drop("first"))
-    ws.drop(lines)
-    heads = ranked.where("head")
-    postings = heads.select("doc_id", "line", "node", "n", "bits", (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("words")).cast("int").alias("before"), F.posexplode("words").alias("at", "word"))
-    postings = postings.select("word", "doc_id", "line", "node", "n", "bits", (F.col("before") + F.col("at")).alias("place"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), a being earlier, those whose full sets reach 0.8: b alone is returned."""
-        pairs = ws.keep(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = ws.keep(ends.join(heads.select("node", "doc_id"), "node"))
-        texts = docs.join(light(ends.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-        full = arrow_map(texts, "node long, words array<long>", _full).join(light(ends.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
-        full = ws.keep(full)
-        both = pairs.join(full.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        common = both.select("b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        out = ws.keep(common.where("9 * common >= 4 * total").select(F.col("b").alias("node")).distinct())
-        ws.drop(pairs, full, ends)
-        return out
-
-    hot = ws.keep(postings.groupBy("word").count().where(F.col("count") > HOT).select("word"))
-    crowd = postings.join(light(hot), "word")
-    leads = crowd.groupBy("word").agg(F.min(F.struct("doc_id", "line", "node", "n", "bits", "place")).alias("l")).select("word", "l.*")
-    led = crowd.alias("p").join(light(leads).alias("l"), "word").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
-    gone = verified(led.select(F.col("l.node").alias("a"), F.col("p.node").alias("b")).distinct())
-
-    # both sides of this join are the same rows, which are shuffled once
-    marked = postings.join(light(gone.withColumn("done", F.lit(True))), "node", "left")
-    marked = marked.withColumn("done", F.coalesce("done", F.lit(False))).repartition("word")
-    earlier = F.struct("p.doc_id", "p.line") < F.struct("q.doc_id", "q.line")
-    rest = marked.alias("p").join(marked.alias("q"), "word").where(~F.col("q.done") & earlier & _bounds("p", "q"))
-    more = verified(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).where("a <> b").distinct())
-
-    gone = gone.union(more).distinct()
-    first = heads.join(light(gone), "node", "left_semi")
+    firsts = ws.keep(lines.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("node", "first"))
+    n = firsts.count()
+    ranked = lines.join(light(firsts, n), "node", "left").withColumn("head", F.coalesce(F.col("first") == order, F.lit(True))).drop("first")
+    if n > BROADCAST_ROWS:
+        ranked = ws.keep(ranked)
+        ws.drop(lines)
+    heads = ranked.where("head").drop("head", "hash")
+    join = _Join(ws, docs, heads)
+    hot = join.first()
+    if not hot.isEmpty():
+        join.rest(hot)
+    first = ranked.where("head").join(light(join.gone), "node", "left_semi")
     return ranked.where("not head").select("doc_id", "hash", "line").union(first.select("doc_id", "hash", "line"))
 
 
@@ -215,13 +383,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "linededup")
     part = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    gone = removed_lines(ws, part).distinct().groupBy("doc_id", "hash").agg(F.collect_set("line").alias("__gone"))
-    gone = ws.keep(gone.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "__gone"))
-    rows, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    gone = removed_lines(ws, part).distinct().groupBy("doc_id", "hash").agg(F.collect_set("line").alias("gone"))
+    owner, name, numbers = unused(docs, "owner", "hash", "gone")
+    gone = ws.keep(gone.select(F.col("doc_id").alias(owner), F.col("hash").alias(name), F.col("gone").alias(numbers)))
+    rows, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
     gone = light(gone, rows if lines <= BROADCAST_LINES else BROADCAST_ROWS + 1)
-    out = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    out = docs.join(gone, (F.col("doc_id").cast("long") == F.col(owner)) & (F.xxhash64("text") == F.col(name)), "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))))
+    kept = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains(numbers, i))))
     number = F.size(F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda p: p.rlike(r"[^\x20\x09-\x0D]")))
-    out = out.withColumns({"n_lines": number.cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    return out.withColumn("text", kept).drop("__id", "__hash", "__gone")
+    out = out.withColumns({"n_lines": number.cast("long"), "n_removed": F.coalesce(F.size(numbers), F.lit(0)).cast("long")})
+    return out.withColumn("text", kept).drop(owner, name, numbers)
