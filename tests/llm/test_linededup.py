@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 
 from tests.llm import brute
 from tidemark.llm import common, linededup
@@ -27,7 +28,7 @@ def corpus():
                 text.append("  ")
         rows.append((i, "\n".join(text)))
     rng.shuffle(rows)
-    return rows + [(200, ""), (201, None), (202, "\n \n"), (203, "word " * 3000), (None, rows[0][1]), rows[5], (7, "a second text\nof a repeated id")]
+    return rows + [(200, ""), (201, None), (202, "\n \n"), (203, "word " * 3000), (None, rows[0][1]), rows[5], (7, "a second text\nof a repeated id")] + [(300, f"one two three four five\n{x} other words of this line") for x in "abc"]
 
 
 @pytest.mark.parametrize("limits", [{}, {"HOT": 2, "BLOCK": 3, "CHUNK": 40}, {"HOT": 1, "LEVELS": 1, "BLOCK": 5, "BROADCAST_ROWS": 0, "BROADCAST_LINES": 0}])
@@ -41,10 +42,11 @@ def test_brute_force(spark, monkeypatch, limits):
     df = spark.createDataFrame([(d, t, "s", 1, "z") for d, t in rows], "doc_id long, text string, hash string, line int, n_lines string")
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["hash"]) for r in linededup.line_dedup(df).collect()), key=str)
     # documents: each (doc_id, text) once, in the order of lines
-    sets = sorted(((d, i, t, frozenset(brute.spaced_words(x))) for d, t in {r for r in rows if r[0] is not None and r[1] is not None} for i, x in enumerate(t.split("\n")) if brute.spaced_words(x)), key=lambda r: r[:2])
+    place = lambda d, i, t: (d, i, (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64)
+    sets = sorted(((d, i, t, frozenset(brute.spaced_words(x))) for d, t in {r for r in rows if r[0] is not None and r[1] is not None} for i, x in enumerate(t.split("\n")) if brute.spaced_words(x)), key=lambda r: place(*r[:3]))
     gone = set()
     for k, (d, i, t, s) in enumerate(sets):
-        if any(9 * len(s & e) >= 4 * (len(s) + len(e)) for dd, ii, _, e in sets[:k] if (dd, ii) < (d, i)):
+        if any(9 * len(s & e) >= 4 * (len(s) + len(e)) for _, _, _, e in sets[:k]):
             gone.add((d, i, t))
     want = []
     for d, t in rows:

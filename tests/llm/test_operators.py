@@ -90,6 +90,7 @@ def test_topk_empty(spark):
 
 def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE", 50)
+    monkeypatch.setattr(mixing, "BIN", 7)
     rng = random.Random(3)
     rows = [(i, "w " * rng.choice([0, 1, 30, 300, 2000]), rng.choice(["b", "a", "a", "a", None, "é"])) for i in range(200)]
     rows += [(500, None, "a"), (501, "", "empty"), (None, "a b", "a"), (7, "x", "a"), (7, "x", "a"), (502, "one two", "tiny")]
@@ -107,6 +108,10 @@ def test_mixing(spark, monkeypatch):
         assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= mixing.BLOCK / 2 + 1
     plain = lambda rows: sorted(str({k: v for k, v in r.asDict().items() if k != "rid"}) for r in rows)
     assert plain(got) == plain(mixing.Mix(df.repartition(5)).drawn().collect())
+    # the draws of the tree's shards, and the cuts alone, take the same
+    shared = ("rid", "doc_id", "source", "size", "source_size", "target", "taken", "n_draws")
+    assert sorted(str([r[c] for c in shared]) for r in mixing.Mix(df).taken().collect()) == sorted(str([r[c] for c in shared]) for r in got)
+    assert set(mixing.Mix(df, extra=["text", "rid"]).taken().columns) == {*shared, "text"}
     draws = mixing.Mix(df).draws(5).collect()
     keys = [(r.rid, r.block, r["pass"]) for r in draws]
     assert len(set(keys)) == len(keys)

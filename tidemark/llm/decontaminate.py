@@ -40,15 +40,16 @@ def windows(items: DataFrame) -> DataFrame:
 
 
 def hits(ws: Workspace, docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """docs (doc_id, w) and grams (gram, size) -> one row with size 0 per document, and one per position of a
-    document at which a gram stands: rid (number of the document), doc_id, n_words, gram, size, at, and around,
+    """docs (doc_id, w, ...) and grams (gram, size) -> one row with size 0 per document, and one per position of a
+    document at which a gram stands: rid (number of the document), doc_id and what else docs has, n_words, gram, size, at, and around,
     the words near the position."""
     docs = docs.withColumn("rid", F.monotonically_increasing_id())
     grams = grams.select("gram", F.lit(True).alias("known"))
     small = grams.count() <= BROADCAST
     if not small:
         docs = ws.keep(docs)
-    spread = docs.select("rid", "doc_id", "w", F.explode(F.expr("sequence(-1, size(w) - 1)")).alias("at"))
+    carried = [c for c in docs.columns if c not in ("rid", "w")]
+    spread = docs.select("rid", *carried, "w", F.explode(F.expr("sequence(-1, size(w) - 1)")).alias("at"))
     spread = spread.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(f"at >= 0 or size = {sizes[0]}")
     gram = [F.when((F.col("size") == n) & (F.col("at") >= 0) & (F.col("at") <= F.size("w") - n), _gram("w", "at", n)) for n in sizes]
     spread = spread.withColumn("gram", F.coalesce(*gram))
@@ -58,13 +59,13 @@ def hits(ws: Workspace, docs: DataFrame, grams: DataFrame, sizes: list[int]) ->
         spread = spread.select("rid", "at", "size", "gram").join(grams, "gram", "left").where("known or at = -1").join(docs, "rid")
     return ws.keep(
         spread.select(
-            "rid", "doc_id", F.size("w").alias("n_words"), "gram", F.when(F.col("at") >= 0, F.col("size")).otherwise(0).alias("size"), "at",
+            "rid", *carried, F.size("w").alias("n_words"), "gram", F.when(F.col("at") >= 0, F.col("size")).otherwise(0).alias("size"), "at",
             F.when(F.col("at") >= 0, F.expr(f"slice(w, greatest(at - {WINDOW} + 1, 0) + 1, {2 * WINDOW})")).alias("around"),
         )
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, hash: bool = False) -> DataFrame:  # noqa: A002
     """docs (doc_id, text, ...), items (item_id, text, ...) -> one row per row of docs: doc_id, n_words, n_hit,
     n_items, items_sha256, contaminated.
 
@@ -72,7 +73,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     items_sha256 is the hash of their ids, sorted as strings and joined by commas.  A null or empty text has
     no words; an item without words has no window; items that repeat count once by id, and an item without
     an id lends its windows to the hits but isn't counted.  Repeated documents are judged each; a null doc_id
-    stays null; other columns are ignored; either table may be empty.
+    stays null; other columns are ignored; either table may be empty.  With hash, a column hash (xxhash64 of the
+    text) tells rows of one doc_id apart.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
     pairs = ws.keep(windows(items))
@@ -85,7 +87,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         gram = this if gram is None else F.coalesce(gram, this)
     offsets = ws.keep(offsets.select("wid", "n", "window", "size", "offset", gram.alias("gram")))
 
-    docs = docs.select("doc_id", words(F.col("text")).alias("w"))
+    more = ["hash"] * hash
+    docs = docs.select("doc_id", *[F.xxhash64("text").alias(c) for c in more], words(F.col("text")).alias("w"))
     found = hits(ws, docs, offsets.select("gram", "size").distinct(), sizes)
     rarity = found.where("size > 0").groupBy("gram").agg(F.count("*").alias("df"))
     # a shingle that no document holds makes its window impossible: df 0 comes first and joins nothing
@@ -103,6 +106,6 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     named = pairs.where("item_id is not null").join(texts.select("window", "wid"), "window").select("wid", "item_id")
     listed = whole.select("rid", "wid").distinct().join(named, "wid").groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     listed = listed.select("rid", F.size("ids").cast("long").alias("n_items"), F.concat_ws(",", "ids").alias("ids"))
-    out = found.where("size = 0").select("rid", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(covered, "rid", "left").join(listed, "rid", "left")
+    out = found.where("size = 0").select("rid", "doc_id", *more, F.col("n_words").cast("long").alias("n_words")).join(covered, "rid", "left").join(listed, "rid", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *more)

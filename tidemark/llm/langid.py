@@ -187,15 +187,18 @@ def predict(docs: DataFrame, model: Model, *extra: str | Column) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, the extra columns, lang_pred, score, rejected: one row per row.
 
     A null text and one without a letter give und, score 0 and rejected.  Empty tables give empty results;
-    repeated rows are predicted each; a null doc_id stays null."""
+    repeated rows are predicted each; a null doc_id stays null.  Extra columns named doc_id or like a result
+    give way to it."""
 
     def f(batch: pa.RecordBatch):
-        langs, scores = model.predict(batch.column("__text").to_pylist())
-        yield dict(zip(batch.schema.names, batch.columns)) | {"lang_pred": langs, "score": scores, "rejected": [lang == "und" or s < model.threshold for lang, s in zip(langs, scores.tolist())]}
-
-    docs = docs.select("doc_id", F.col("text").alias("__text"), *extra)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double, rejected boolean"
-    return arrow_map(docs, schema, f).drop("__text")
+        langs, scores = model.predict(batch.column(0).to_pylist())
+        yield dict(zip(batch.schema.names[1:], batch.columns[1:])) | {"lang_pred": langs, "score": scores, "rejected": [lang == "und" or s < model.threshold for lang, s in zip(langs, scores.tolist())]}
+
+    wanted = docs.select(*extra).columns if extra else []
+    kept = [c for c, n in zip(extra, wanted) if n.lower() not in ("doc_id", "lang_pred", "score", "rejected")]
+    docs = docs.select("text", "doc_id", *kept).toDF("text of the row", "doc_id", *docs.select(*kept).columns)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes[1:]) + ", lang_pred string, score double, rejected boolean"
+    return arrow_map(docs, schema, f)
 
 
 def held_out() -> Column:

@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words ([^\\x20\\x09-\\x0D]+, A-Z in lower case); lines without words are never touched.
-Lines with equal sets form a class, whose first line in the order (doc_id, line number) stands for it.  A
+Lines with equal sets form a class, whose first line in the order (doc_id, line number, hash of the text) stands for it.  A
 line is removed if an earlier line's Jaccard similarity to it is 0.8 or more: that is so for all but the
 first line of a class, and for that one if its class is linked to a class that began earlier.
 
@@ -34,9 +34,9 @@ from .common import BROADCAST_ROWS, Workspace, arrow_map, light, unused
 
 BUCKETS, SEGMENTS = 1 << 19, 64
 #: a list is joined at once up to HOT postings, and later up to HOT ** 2 pairs; words of a key at most; postings a block
-HOT, LEVELS, BLOCK = 256, 3, 1024
+HOT, LEVELS, BLOCK = 512, 3, 1024
 #: postings of one pass in numpy, and pairs looked at together
-CHUNK, PAIRS = 100_000, 500_000
+CHUNK, PAIRS = 300_000, 500_000
 #: removed lines that may be broadcast with their documents' ids
 BROADCAST_LINES = 4_000_000
 
@@ -272,7 +272,7 @@ def _size(place: str) -> str:
 
 
 class _Join:
-    """The set-similarity join of the heads (doc_id, line, node, n, one, two, words) of docs (doc_id, text)."""
+    """The set-similarity join of the heads (doc_id, line, hash, node, n, one, two, words) of docs (doc_id, text)."""
 
     def __init__(self, ws: Workspace, docs: DataFrame, heads: DataFrame):
         self.ws, self.docs, self.heads = ws, docs, heads.where("n > 3")
@@ -294,8 +294,8 @@ class _Join:
         """Adds to gone what the full sets confirm: of each pair (a, b) the later one, unless it is known."""
         ws, pairs = self.ws, self.ws.keep(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = ws.keep(ends.join(self.heads.select("node", "doc_id", "line"), "node"))
-        end = lambda x: ends.select(F.col("node").alias(x), F.struct("doc_id", "line").alias(f"at_{x}"))
+        ends = ws.keep(ends.join(self.heads.select("node", "doc_id", "line", "hash"), "node"))
+        end = lambda x: ends.select(F.col("node").alias(x), F.struct("doc_id", "line", "hash").alias(f"at_{x}"))
         both = pairs.join(end("a"), "a").join(end("b"), "b")
         swap = F.col("at_a") > F.col("at_b")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
@@ -318,9 +318,9 @@ class _Join:
     def rest(self, hot: DataFrame) -> None:
         """The links of the lists of these keys."""
         ws = self.ws
-        rows = self.heads.select("node", "doc_id", "line", "n", "one", "two", "words", F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word"))
+        rows = self.heads.select("node", "doc_id", "line", "hash", "n", "one", "two", "words", F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word"))
         rows = ws.keep(rows.withColumn("key", F.col("word").cast("long")).drop("word").join(light(hot), "key", "left_semi"))
-        leads = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "one", "two", "at"), F.struct("doc_id", "line")).alias("l")).select("key", "l.*")
+        leads = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "one", "two", "at"), F.struct("doc_id", "line", "hash")).alias("l")).select("key", "l.*")
         led = rows.alias("p").join(light(ws.keep(leads)).alias("l"), "key").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
         self.verify(led.select(F.least("l.node", "p.node").alias("a"), F.greatest("l.node", "p.node").alias("b")).distinct())
         done = light(self.gone.withColumn("known", F.lit(1)))
@@ -355,15 +355,16 @@ def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     rarity = np.minimum(np.log2(counts + 1) * 64, 4095).astype(np.uint16).tobytes()
     schema = "doc_id long, hash long, line int, node long, n int, one long, two long, words array<int>"
     lines = ws.keep(arrow_map(docs, schema, _index(rarity)))
-    # where sets that more than one line has begin: (doc_id, line) as one number, whose minimum a hash aggregate can keep
-    order = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line")
+    # where sets that more than one line has begin: the order as one number, whose minimum a hash aggregate can keep;
+    # the upper 30 bits of the hash tell lines of one number in two texts of one doc_id apart
+    order = F.expr("cast(doc_id as decimal(19,0)) * cast(2305843009213693952 as decimal(19,0)) + cast(cast(line as bigint) * 1073741824 + (shiftright(hash, 34) + 536870912) as decimal(19,0))")
     firsts = ws.keep(lines.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("node", "first"))
     n = firsts.count()
     ranked = lines.join(light(firsts, n), "node", "left").withColumn("head", F.coalesce(F.col("first") == order, F.lit(True))).drop("first")
     if n > BROADCAST_ROWS:
         ranked = ws.keep(ranked)
         ws.drop(lines)
-    heads = ranked.where("head").drop("head", "hash")
+    heads = ranked.where("head").drop("head")
     join = _Join(ws, docs, heads)
     hot = join.first()
     if not hot.isEmpty():
@@ -377,7 +378,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     n_removed: one row per row.
 
     A null text stays null, an empty one empty, with no lines.  Rows that repeat a doc_id and its text are one
-    document, and all keep the same lines; different texts of one doc_id are documents of their own.  A row
+    document, and all keep the same lines; different texts of one doc_id are documents of their own, and of
+    their lines of one number the text with the smaller hash comes first.  A row
     whose doc_id is null has no place in the order: it takes no part and stays as it is.  Columns of docs named
     n_lines or n_removed are replaced; others stay.
     """
@@ -391,6 +393,6 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     out = docs.join(gone, (F.col("doc_id").cast("long") == F.col(owner)) & (F.xxhash64("text") == F.col(name)), "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains(numbers, i))))
-    number = F.size(F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda p: p.rlike(r"[^\x20\x09-\x0D]")))
+    number = F.size(F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r")) != ""))
     out = out.withColumns({"n_lines": number.cast("long"), "n_removed": F.coalesce(F.size(numbers), F.lit(0)).cast("long")})
     return out.withColumn("text", kept).drop(owner, name, numbers)

@@ -105,6 +105,7 @@ def _sketch(k: int):
                 "node": nodes,
                 "bands": [next(keys) if n else None for n in sizes],
                 "sig": [next(low).tobytes() if n else None for n in sizes],
+                **{name: batch.column(name).slice(first, len(run)) for name in batch.schema.names[2:]},
             }
 
     return f
@@ -173,7 +174,7 @@ def _blocks(need: list[int], percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-9, rows: bool = False) -> DataFrame:
     """docs (doc_id long, text string, ...) -> one row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; a text's set holds its distinct k-word shingles, or
@@ -181,11 +182,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     Null, empty and blank texts have no set and are linked with nothing.  Rows that repeat a doc_id are
     rows of their own with one id.  A row whose doc_id is null can't be named by others: it gets a null
     component_id and is kept.  Other columns are ignored; an empty table gives an empty result.
+
+    With rows, a row is told by its doc_id and its text: there are further columns hash (xxhash64 of the text)
+    and first, whether no row of its component comes before it in the order of (doc_id, hash).
     """
     ws = Workspace(docs.sparkSession, "minhash")
     need = least_matches(percent / 100, miss)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = ws.keep(arrow_map(docs, "doc_id long, n long, node long, bands array<long>, sig binary", _sketch(k)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias("hash")] * rows)
+    sketch = ws.keep(arrow_map(docs, "doc_id long, n long, node long, bands array<long>, sig binary" + ", hash long" * rows, _sketch(k)))
     sets = sketch.where("node is not null and doc_id is not null")
 
     banded = sets.select("node", F.explode("bands").alias("band"))
@@ -230,9 +234,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     # a whole component of the first round acts as one node in the second
     roots = ws.keep(components(ws, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links2.select("a", "b"))))
-    classes = sets.groupBy("node").agg(F.min("doc_id").alias("first"))
+    name = F.struct("doc_id", *["hash"] * rows)
+    classes = sets.groupBy("node").agg((F.min(name) if rows else F.struct(F.min("doc_id").alias("doc_id"))).alias("first"))
     named = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = F.min("first") if rows else F.struct(F.min("first.doc_id").alias("doc_id"))
+    named = named.join(named.groupBy("root").agg(least.alias("leader")), "root").select("node", "leader")
+    out = sketch.join(named, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("leader.doc_id", "doc_id")))
+    more = ["hash", F.coalesce(name == F.col("leader"), F.lit(True)).alias("first")] if rows else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *more)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-CHUNK = 65_536
+CHUNK = 16_384
 OVERLAP = 256
 #: texts of one call, and pieces remembered by one worker at most (some 150 MB)
 SLICE = 64
