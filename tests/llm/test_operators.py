@@ -283,8 +283,23 @@ def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = urlfilter.build(Workspace(spark, "t"), keys)
     assert len(cascade.levels) > 1
-    rows = keys.select("listed", cascade.bits(F.col("key")).alias("b")).collect()
+    rows = keys.select("listed", cascade.hashes(F.col("key")).alias("b")).collect()
     assert cascade.listed(np.array([r.b for r in rows])).tolist() == [r.listed for r in rows]
+    # the size follows the list, not the universe
+    few = urlfilter.build(Workspace(spark, "t"), spark.range(100_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") < 5).alias("listed")))
+    assert sum(len(level.bits) for level in few.levels) < 1000
+
+
+def test_many_rules(spark):
+    rng = random.Random(2)
+    rules = {(f"{rng.choice('abc')}{rng.randint(0, 40)}.{rng.choice(['com', 'org', 'x.net'])}", "/" + rng.choice(["", "p/", "p/q/", "é"])): rng.choice(["allow", "block"]) for _ in range(150)}
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    urls = [f"http://{rng.choice(['', 'www.', 'é.'])}{rng.choice('abc')}{rng.randint(0, 60)}.{rng.choice(['com', 'org', 'x.net'])}/{rng.choice(['', 'p/', 'p/q/r', 'é?'])}" for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in urlfilter.url_filter(df, rules=tuple(rules), default="allow").collect():
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, "allow"))
+        assert (r.rule, r.verdict) == (rule, verdict)
 
 
 # --- op8

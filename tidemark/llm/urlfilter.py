@@ -7,22 +7,23 @@ Bloom filter of the listed keys; each further level encodes the keys of the othe
 it lets through by mistake, until none is left.  A key of the universe is listed if it passes an odd number
 of levels before one refuses it or they end; no join is needed to ask, and the answer is exact for every key
 of the universe.  A second cascade, over the rules, separates block from allow.
+
+Level 1 is sized for fewer mistakes than there are listed keys, whatever the size of the universe.  So all
+levels grow with the list, by the logarithm of the universe: some 4 bytes a rule for a thousand million keys.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map
 
-HASHES = 3
-#: bits of a level by key it encodes; a level may take this many bytes in all
-BITS, MOST_BYTES = 8, 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = (
@@ -42,65 +43,75 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _words(key: Column, level: int, words: int) -> list[Column]:
-    """Bit numbers of a key at one level: HASHES of 32 bits from two 64-bit hashes seeded by the level."""
-    out = []
-    for i in range(HASHES):
-        out.append(F.pmod(F.xxhash64(F.lit(level * HASHES + i), key), F.lit(words * 64)))
-    return out
+def _hashes(key: Column, level: int) -> Column:
+    """Two 64-bit hashes of a key, of which a level makes all its own."""
+    return F.array(F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key))
 
 
-class Cascade:
-    """levels[i]: a bit array, by numbers of 64-bit words."""
+class Level:
+    """A Bloom filter of `count` keys that lets a share of about `miss` of all others through."""
+
+    def __init__(self, count: int, miss: float):
+        self.k = max(1, math.ceil(-math.log2(miss)))
+        self.bits = np.zeros(max(64, math.ceil(count * self.k / math.log(2))), bool)
+
+    def spots(self, hashes: np.ndarray) -> np.ndarray:
+        """keys x 2 hashes -> keys x k bit numbers."""
+        h = hashes.astype(np.int64).view(np.uint64).reshape(-1, 2)
+        return (h[:, :1] + np.arange(self.k, dtype=np.uint64) * (h[:, 1:] | np.uint64(1))) % np.uint64(len(self.bits))
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[self.spots(hashes)].all(1)
+
+    def __getstate__(self):
+        return {"k": self.k, "n": len(self.bits), "packed": np.packbits(self.bits)}
 
-    def __init__(self, levels: list[np.ndarray]):
+    def __setstate__(self, state):
+        self.k, self.bits = state["k"], np.unpackbits(state["packed"], count=state["n"]).astype(bool)
+
+
+class Cascade:
+    def __init__(self, levels: list[Level]):
         self.levels = levels
 
-    def bits(self, key: Column) -> Column:
-        """For each level, the bit numbers of a key."""
-        return F.array(*[F.array(*_words(key, i, len(level))) for i, level in enumerate(self.levels)]) if self.levels else F.expr("cast(array() as array<array<bigint>>)")
+    def hashes(self, key: Column) -> Column:
+        """The hashes of a key for all levels."""
+        return F.flatten(F.array(*[_hashes(key, i) for i in range(len(self.levels))])) if self.levels else F.expr("cast(array() as array<bigint>)")
 
-    def listed(self, numbers: np.ndarray) -> np.ndarray:
-        """numbers: keys x levels x HASHES -> whether each key is listed."""
-        passed = np.zeros(len(numbers), np.int64)
-        going = np.ones(len(numbers), bool)
+    def listed(self, hashes: np.ndarray) -> np.ndarray:
+        """keys x 2 hashes a level -> whether each key is listed."""
+        passed = np.zeros(len(hashes), np.int64)
+        going = np.arange(len(hashes))
         for i, level in enumerate(self.levels):
-            at = numbers[:, i]
-            hit = ((level[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
-            going &= hit
-            passed += going
+            going = going[level.passes(hashes[going, 2 * i : 2 * i + 2])]
+            passed[going] += 1
         return passed % 2 == 1
 
 
 def build(ws: Workspace, keys: DataFrame) -> Cascade:
     """A cascade over keys (key string, listed boolean), each key once; exact for all of them.
 
-    Only a level's mistakes go on to the level after the next, so the tables shrink fast.
+    Only a level's mistakes go on to the level after the next, so the tables shrink fast; what a level encodes, at
+    most about as many keys as are listed, comes to the driver as hashes.
     """
-    levels: list[np.ndarray] = []
+    levels: list[Level] = []
     # inside: the keys this level encodes; outside: those it must refuse
     inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
     while True:
-        count = inside.count()
+        count, others = inside.count(), outside.count()
         if count == 0:
             return Cascade(levels)
-        words = max(1, -(-count * BITS // 64))
-        if words * 8 > MOST_BYTES:
-            raise ValueError(f"{count} keys need more than {MOST_BYTES} bytes; raise MOST_BYTES or split the list")
-        numbers = F.explode(F.array(*_words(F.col("key"), len(levels), words)))
-        set_bits = inside.select(numbers.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-        level = np.zeros(words, np.int64)
-        for word, bits in set_bits.collect():  # at most MOST_BYTES / 8 rows
-            level[word] = bits
-        levels.append(level.view(np.uint64))
-        one = Cascade([levels[-1]])
-        depth = len(levels) - 1
-
-        def through(batch: pa.RecordBatch, one=one):
-            numbers = batch.column(1).flatten().to_numpy().reshape(-1, 1, HASHES)
-            yield {"key": batch.column(0).take(pa.array(np.flatnonzero(one.listed(numbers))))}
-
-        wrong = arrow_map(outside.select("key", F.array(*_words(F.col("key"), depth, words))), "key string", through)
+        level = Level(count, min(0.25, 0.5 * count / max(1, others)))
+        depth = len(levels)
+        found = np.array([r["h"] for r in inside.select(_hashes(F.col("key"), depth).alias("h")).toLocalIterator()], np.int64)
+        level.bits[level.spots(found)] = True
+        levels.append(level)
+
+        def through(batch: pa.RecordBatch, level=level):
+            hashes = batch.column(1).flatten().to_numpy().reshape(-1, 2)
+            yield {"key": batch.column(0).take(pa.array(np.flatnonzero(level.passes(hashes))))}
+
+        wrong = arrow_map(outside.select("key", _hashes(F.col("key"), depth)), "key string", through)
         inside, outside = ws.keep(wrong), inside
 
 
@@ -111,7 +122,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     end.  A null url or one without :// has an empty host and path, which no rule fits.  rule: host and path
     of the longest rule that fits, else null; verdict: the rule's, else `default` (a key that the cascade
     doesn't hold isn't listed).  Repeated rows are judged each; a null page_id stays null; other columns are
-    ignored.  rules is a driver-side list, whose cascade is checked against MOST_BYTES.
+    ignored.  rules is a driver-side list, to whose size the filters that every worker gets are proportional.
     """
     spark: SparkSession = pages.sparkSession
     ws = Workspace(spark, "urlfilter")
@@ -136,21 +147,26 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
 
     def judge(batch: pa.RecordBatch):
         keys = batch.column("keys")
-        sizes = np.array([len(x) for x in keys.to_pylist()], np.int64) if len(keys) else np.zeros(0, np.int64)
-        flat = keys.flatten().to_pylist()
-        first, second = (batch.column(n).flatten().flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(flat), len(c.levels), HASHES) for n, c in (("member", member), ("block", block)))
-        hit, blocked = member.listed(first), block.listed(second)
-        rules_, verdicts, at = [], [], 0
-        for n in sizes.tolist():
-            fits = [i for i in range(at, at + n) if hit[i]]
-            best = max(fits, key=lambda i: (len(flat[i]), flat[i].find("/")), default=None)
-            rules_.append(None if best is None else flat[best])
-            verdicts.append(default if best is None else "block" if blocked[best] else "allow")
-            at += n
-        yield {n: batch.column(n) for n in ("page_id", "host", "path")} | {"rule": rules_, "verdict": verdicts}
+        sizes = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = keys.flatten()
+        asked = lambda n, c: batch.column(n).flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(flat), 2 * len(c.levels))
+        hit = member.listed(asked("member", member))
+        # of a url's listed keys the longest, and of equally long ones that of the longer host
+        rank = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | pc.find_substring(flat, "/").to_numpy(zero_copy_only=False)
+        best = np.full(len(batch), -1, np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = (np.cumsum(sizes) - sizes)[some]
+            rank = np.where(hit, rank, -1)
+            top = np.repeat(np.maximum.reduceat(rank, starts), sizes[some])
+            best[some] = np.maximum.reduceat(np.where((rank == top) & hit, np.arange(len(flat)), -1), starts)
+        at = pa.array(best, mask=best < 0)
+        blocked = pa.array(block.listed(asked("block", block)))
+        verdict = pc.if_else(blocked.take(at), "block", "allow") if len(flat) else pa.nulls(len(batch), pa.string())
+        yield {n: batch.column(n) for n in ("page_id", "host", "path")} | {"rule": flat.take(at), "verdict": pc.fill_null(verdict, default)}
 
     kind = dict(pages.dtypes)["page_id"]
-    asked = keyed.select("page_id", "host", "path", "keys", F.transform("keys", member.bits).alias("member"), F.transform("keys", block.bits).alias("block"))
+    asked = keyed.select("page_id", "host", "path", "keys", F.transform("keys", member.hashes).alias("member"), F.transform("keys", block.hashes).alias("block"))
     return arrow_map(asked, f"page_id {kind}, host string, path string, rule string, verdict string", judge)
 
 
