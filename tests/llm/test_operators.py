@@ -81,6 +81,16 @@ def test_topk_stops_early_with_the_same_result():
     assert topk.block_topk(q, np.arange(40), rows[:3], np.arange(3), 5)
 
 
+def test_topk_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk.exact_topk(df, every=9).collect()))
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    assert sorted(map(tuple, topk.exact_topk(df, every=9).collect())) == whole and len(whole) == 5 * 45
+
+
 def test_topk_empty(spark):
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
