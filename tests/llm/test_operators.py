@@ -49,6 +49,67 @@ def test_license_scores_match_numpy(spark):
     assert right == len(texts) - 2
 
 
+def test_license_scan_brute_force(spark):
+    """Every paragraph scored in numpy, runs and overlaps in plain Python."""
+    rng = random.Random(6)
+    ordinary = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "text", "of", "the", "and", "to", "in", "work"], k=rng.randint(1, 15))) for _ in range(300)]
+    model = licenses.fit(ordinary, epochs=10)
+    notices = [n for ns in licenses.NOTICES.values() for n in ns] + [n.format("zebra", "9") for n in licenses.OTHERS] + list(licenses.UNSEEN)
+
+    def wrapped(n):
+        words = n.split()
+        return "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+
+    docs = []
+    for i in range(150):
+        lines = [rng.choice(ordinary) for _ in range(rng.randint(0, 4))] + [rng.choice([str, wrapped])(rng.choice(notices)) for _ in range(rng.randint(0, 2))] + rng.choices(["", "  "], k=rng.randint(0, 1))
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines)))
+
+    def want(text):
+        n, found = 0, []
+        for par, line in enumerate(text.split("\n")):
+            words = licenses.paragraph_words(line)
+            n += bool(words)
+            if any(g in set(model.features) for g in licenses.grams(words)):
+                p = model.probabilities([line])[0]
+                if p.argmax():
+                    at = [i for i, f in enumerate(model.features) if f in licenses.grams(words)]
+                    found.append((par, licenses.CLASSES[p.argmax()] if p.max() >= model.threshold else "other", licenses.template(line), model.weights[at].sum(0)))
+        runs = []
+        for one in found:
+            if runs and runs[-1][-1][0] == one[0] - 1:
+                runs[-1].append(one)
+            else:
+                runs.append([one])
+        sure = set()
+        for run in runs:
+            families, open_ = {f for _, f, *_ in run}, [z for _, f, _, z in run if f == "other"]
+            if len(open_) > 1:
+                p = licenses.softmax((sum(open_) + model.bias)[None] / model.temperature)[0]
+                families |= {licenses.CLASSES[p.argmax()]} if p.argmax() > 1 and p.max() >= model.threshold else set()
+            two = set().union(*(t for _, _, t, _ in run))
+            sure |= {f for f in families for n in licenses.NOTICES.get(f, ()) if len(licenses.template(n) & two) >= 0.6 * len(licenses.template(n))}
+        return n, len(found), ",".join(sorted(sure)) or ("unknown" if found else None)
+
+    got = {r.doc_id: (r.n_paragraphs, r.n_license, r.license) for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert got == {d: want(t) for d, t in docs}
+    assert len({x for *_, x in got.values()}) > 8
+
+
+def test_unseen_and_wrapped_licences(spark):
+    rng = random.Random(8)
+    ordinary = [" ".join(rng.choices(["alpha", "beta", "gamma", "text", "of", "the", "and", "this", "is", "work", "by"], k=rng.randint(1, 15))) for _ in range(400)]
+    model = licenses.fit(ordinary)
+    unseen = ["Licensed under the Academic Free License version 3.0", "This work is licensed under the Zebra Public License, version 7.", "Distributed under the terms of the Quantum Source License", "Released under the Open Publication License 1.0"]
+    gpl = next(n for n in licenses.NOTICES["GPL-3.0"] if n.startswith("This program is free"))
+    words = gpl.split()
+    wrapped = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(list(enumerate([*unseen, wrapped, ordinary[0]])), "doc_id long, text string"), model).collect()}
+    assert all(got[i] in ("unknown", None) for i in range(4)) and sum(got[i] == "unknown" for i in range(4)) >= 3
+    assert got[4] == "GPL-3.0" and got[5] is None
+
+
 # --- op2
 
 

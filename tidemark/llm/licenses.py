@@ -2,12 +2,15 @@
 
 A paragraph is a line that isn't blank; its features are its distinct word 1-grams and 2-grams.  A logistic
 regression (softmax over licence families, `none` and `other`, an unknown licence) is trained in numpy on
-variants of licence notices (words dropped, notices cut and set among ordinary words) against paragraphs of
-a bounded sample of the documents; grams that ordinary paragraphs use are no features, and an L1 step keeps
-the rest sparse.  A held-out part of the variants sets its
-temperature and the score below which a prediction turns to `other`.  A predicted family must be confirmed
-by comparison with its notices: the share of one notice's 2-grams (those that are features) that the
-paragraph holds.
+variants of licence notices (words dropped, notices cut as wrapped lines are, and set among ordinary words)
+against a bounded sample of the corpus's paragraphs; grams that ordinary paragraphs use are no features, and
+an L1 step keeps the rest sparse.  For calibration it is first trained without some notices of each family:
+those, and notices of licences that it never learns, set its temperature and the score below which a
+prediction turns to `other`.
+
+Predicted paragraphs next to each other that name no family with such a score are judged once more together,
+by the sum of their features, as a notice may be wrapped.  A predicted family must be confirmed by comparison with its notices: the share of one notice's 2-grams that
+the paragraph holds, together with the predicted paragraphs next to it.
 
 Prediction is a join of grams with the sparse weights, whose size is bounded by FEATURES, and sums.
 """
@@ -16,66 +19,19 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
+from .notices import NOTICES, OTHERS, UNSEEN
 
-#: features that the model keeps at most, and documents that training samples at most
-FEATURES, SAMPLE = 4096, 400
+#: features that the model keeps at most, and paragraphs that training samples, about
+FEATURES, SAMPLE = 4096, 4000
 CONFIRM = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NOTICES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache License 2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "This software is licensed under the MIT license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "Licensed under GPL v3",
-    ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ),
-    "CC-BY-4.0": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Released under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
-        "Licensed under the Mozilla Public License 2.0",
-    ),
-}
-#: notices of no family above: they teach the class `other`
-OTHERS = (
-    "All rights reserved.",
-    "Licensed under the {} License.",
-    "This work is licensed under the {} Public License, version {}.",
-    "Released under the terms of the {} licence {}",
-    "Use of this file is governed by a {} licence agreement",
-    "Permission to use this work is granted by {} only",
-    "Copyright {} and contributors, licensed to you under terms of {}",
-)
 CLASSES = ("none", "other", *NOTICES)
 PATTERN = r"[^a-z0-9\x80-\x{10FFFF}]+"
 
@@ -90,6 +46,12 @@ def grams(words: list[str]) -> list[str]:
     return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
 
 
+def template(notice: str) -> set[str]:
+    """The 2-grams of a notice."""
+    words = paragraph_words(notice)
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
 @dataclass
 class Model:
     features: list[str]
@@ -112,36 +74,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _variants(ordinary: list[str], rng: np.random.Generator) -> list[tuple[str, int]]:
-    """(paragraph, class): notices with words dropped and cut, bare and among ordinary words."""
-    filler = [w for p in ordinary for w in p.split()][:5000] or ["the", "of", "and", "a", "text", "in", "to"]
+def _variants(notices: list[tuple[str, int]], ordinary: list[str], rng: np.random.Generator) -> list[tuple[str, int]]:
+    """(paragraph, class) from (notice, class): notices with words dropped and cut, bare and among ordinary words."""
+    filler = [w for p in ordinary for w in p.split()] or ["the", "of", "and", "a", "text", "in", "to"]
 
     def some(n: int) -> list[str]:
         at = int(rng.integers(0, max(1, len(filler) - n)))
         return filler[at : at + n]
 
     out = []
-    for k, family in enumerate(CLASSES):
-        for notice in NOTICES.get(family, OTHERS if family == "other" else ()):
-            for _ in range(12 if family == "other" else 24):
-                words = notice.format(*(w.title() for w in (some(3) + ["x", "y"]))).split()
-                if rng.random() < 0.4 and len(words) > 6:
-                    words = [w for w in words if rng.random() > 0.1]
-                if rng.random() < 0.4:
-                    words = [*some(int(rng.integers(0, 12))), *words, *some(int(rng.integers(0, 12)))]
-                out.append((" ".join(words), k))
+    for notice, k in notices:
+        for _ in range(12 if "{}" in notice else 24):
+            words = notice.format(*(w.title() for w in (some(3) + ["x", "y"]))).split()
+            if len(words) > 20 and rng.random() < 0.5:  # a line of it, as it is wrapped
+                at = int(rng.integers(0, len(words) - 9))
+                words = words[at : at + int(rng.integers(9, 16))]
+            if rng.random() < 0.4 and len(words) > 6:
+                words = [w for w in words if rng.random() > 0.1]
+            if rng.random() < 0.4:
+                words = [*some(int(rng.integers(0, 12))), *words, *some(int(rng.integers(0, 12)))]
+            out.append((" ".join(words), k))
     out += [(p, 0) for p in ordinary]
     for _ in range(400):
         out.append((" ".join(some(int(rng.integers(1, 40)))), 0))
     return out
 
 
-def fit(ordinary: list[str], seed: int = 1, epochs: int = 40) -> Model:
-    """Trains on variants of the notices against ordinary paragraphs (those that resemble a notice go)."""
-    rng = np.random.default_rng(seed)
-    known = [set(grams(paragraph_words(n))) for ns in NOTICES.values() for n in ns]
-    ordinary = [p for p in ordinary if not any(len(k & set(grams(paragraph_words(p)))) >= 0.4 * len(k) for k in known)]
-    rows = _variants(ordinary, rng)
+def _learn(rows: list[tuple[str, int]], ordinary: list[str], rng: np.random.Generator, epochs: int) -> Model:
+    """Weights of (paragraph, class) rows, not yet calibrated."""
     rows = [rows[i] for i in rng.permutation(len(rows))]
     count: dict[str, int] = {}
     bags = [grams(paragraph_words(p)) for p, _ in rows]
@@ -159,35 +119,47 @@ def fit(ordinary: list[str], seed: int = 1, epochs: int = 40) -> Model:
     x = np.zeros((len(rows), len(features)), np.float32)
     for i, bag in enumerate(bags):
         x[i, [at[g] for g in bag if g in at]] = 1
-    held = np.arange(len(rows)) % 5 == 0
     weights, bias = np.zeros((len(features), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
-    train = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = 0.5 / (1 + epoch / 10)
-        for index in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
+        for index in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
             p = softmax(x[index] @ weights + bias)
             p[np.arange(len(index)), y[index]] -= 1
             weights -= step * (x[index].T @ p) / len(index) * 4
             bias -= step * p.mean(0)
             weights = np.sign(weights) * np.maximum(np.abs(weights) - step * 2e-4, 0)
-    logits = x[held] @ weights + bias
-    right = np.arange(len(logits)), y[held]
-    temperature = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(softmax(logits / t)[right] + 1e-12).mean())
-    p = softmax(logits / temperature)
-    good = np.sort(p.max(1)[(p.argmax(1) == y[held]) & (y[held] > 1)])
-    threshold = min(0.5, float(good[len(good) // 200])) if len(good) else 0.5
     used = np.flatnonzero(np.abs(weights).sum(1) > 0)
-    return Model([features[i] for i in used], weights[used].astype(float), bias.astype(float), float(temperature), threshold)
+    return Model([features[i] for i in used], weights[used].astype(float), bias.astype(float), 1.0, 0.0)
+
+
+def fit(ordinary: list[str], seed: int = 1, epochs: int = 40) -> Model:
+    """Trains on variants of the notices against ordinary paragraphs (those that resemble a notice go)."""
+    rng = np.random.default_rng(seed)
+    known = [set(grams(paragraph_words(n))) for n in (*(n for ns in NOTICES.values() for n in ns), *OTHERS, *UNSEEN)]
+    bags = [set(grams(paragraph_words(p))) for p in ordinary]
+    ordinary = [p for p, bag in zip(ordinary, bags) if not any(len(k & bag) >= 0.4 * len(k) for k in known)]
+    notices = [(n, k, i) for k, family in enumerate(CLASSES) for i, n in enumerate(NOTICES.get(family, OTHERS if family == "other" else ()))]
+    # without every third notice of each class, and every fifth ordinary paragraph
+    model = _learn(_variants([(n, k) for n, k, i in notices if i % 3 != 2], [p for i, p in enumerate(ordinary) if i % 5], rng), ordinary, rng, epochs)
+    held = _variants([(n, k) for n, k, i in notices if i % 3 == 2] + [(n, 1) for n in UNSEEN], ordinary[::5], rng)
+    y, texts = np.array([k for _, k in held]), [p for p, _ in held]
+    temperature = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(replace(model, temperature=t).probabilities(texts)[np.arange(len(y)), y] + 1e-12).mean())
+    p = replace(model, temperature=temperature).probabilities(texts)
+    best, score = p.argmax(1), p.max(1)
+    # a family named rightly counts for, one named wrongly against a bound
+    gain = lambda t: ((best > 1) & (best == y) & (score >= t)).sum() - ((best > 1) & (best != y) & (score >= t)).sum()
+    threshold = max(np.linspace(0.2, 0.95, 76), key=lambda t: (gain(t), -t))
+    whole = _learn(_variants([(n, k) for n, k, _ in notices], ordinary, rng), ordinary, rng, epochs)
+    return replace(whole, temperature=float(temperature), threshold=float(threshold))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Ordinary paragraphs come from about `sample` documents, drawn by a hash of doc_id."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30))
-    rows = docs.where(part < int(min(1.0, sample / max(1, n)) * (1 << 30))).select(F.slice(F.split("text", "\n"), 1, 20).alias("p"), part.alias("part"))
-    rows = rows.select("part", F.transform("p", lambda p: F.substring(p, 1, 400)).alias("p")).where("p is not null")
-    rows = sorted(rows.collect(), key=lambda r: (r["part"], r["p"]))
-    return fit([p for r in rows for p in r["p"] if p.strip()])
+    """Ordinary paragraphs are about `sample` of all paragraphs of docs, whole, drawn by a hash of doc_id and line number."""
+    lines = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    n = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
+    part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "at"), F.lit(1 << 30))
+    rows = lines.select("doc_id", F.posexplode("lines").alias("at", "p")).select(part.alias("part"), "p").where(F.col("part") < int(min(1.0, sample / max(1, n)) * (1 << 30)))
+    return fit([r["p"] for r in sorted(rows.collect(), key=lambda r: (r["part"], r["p"])) if r["p"].strip()])
 
 
 def scan(ws: Workspace, docs: DataFrame, model: Model) -> DataFrame:
@@ -207,28 +179,43 @@ def scan(ws: Workspace, docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select("rid", "doc_id", "n_paragraphs", F.posexplode(F.concat(F.array(F.lit("")), "lines")).alias("par", "line"))
     words = F.array_remove(F.split(F.translate("line", UPPER, LOWER), PATTERN), "")
     spread = docs.select("rid", "doc_id", "n_paragraphs", (F.col("par") - 1).alias("par"), words.alias("words"))
-    spread = spread.select("rid", "doc_id", "n_paragraphs", "par", F.explode(F.when(F.col("par") < 0, F.array(F.lit(""))).otherwise(grams_)).alias("gram"))
+    spread = spread.select("rid", "doc_id", "n_paragraphs", "par", "words", F.explode(F.when(F.col("par") < 0, F.array(F.lit(""))).otherwise(grams_)).alias("gram"))
     weights = inline([{"gram": f, "w": [float(x) for x in w]} for f, w in zip(model.features, model.weights)], "gram:string,w:array<double>")
-    known = set(model.features)
-    notices = [{"gram": g, "family": k, "notice": i, "size": len(two)} for k, ns in NOTICES.items() for i, n in enumerate(ns) for two in [[g for g in grams(paragraph_words(n)) if " " in g and g in known]] for g in two]
+    notices = [{"gram": g, "family": k, "notice": i, "size": len(two)} for k, ns in NOTICES.items() for i, n in enumerate(ns) for two in [template(n)] for g in two]
     notices = inline(notices, "gram:string,family:string,notice:int,size:int")
 
     # at most FEATURES rows
     hit = spread.join(F.broadcast(weights), "gram", "left").where("w is not null or par < 0")
     logits = [F.sum(F.get("w", F.lit(i))).alias(f"l{i}") for i in range(len(CLASSES))]
-    hit = hit.groupBy("rid", "doc_id", "n_paragraphs", "par").agg(*logits, F.collect_list("gram").alias("grams"))
-    z = [(F.col(f"l{i}") + float(model.bias[i])) / model.temperature for i in range(len(CLASSES))]
-    top = F.greatest(*z)
-    best: Column = F.lit(CLASSES[-1])
-    for i in reversed(range(len(CLASSES) - 1)):
-        best = F.when(z[i] == top, CLASSES[i]).otherwise(best)
-    total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
-    hit = hit.select("rid", "doc_id", "n_paragraphs", "par", "grams", best.alias("best"), (1 / total).alias("score")).where("best <> 'none' or par < 0")
+    hit = hit.groupBy("rid", "doc_id", "n_paragraphs", "par").agg(*logits, F.first("words").alias("words"))
+
+    def judged(df: DataFrame) -> DataFrame:
+        """With best and score of the sums l0, l1, ..."""
+        z = [(F.col(f"l{i}") + float(model.bias[i])) / model.temperature for i in range(len(CLASSES))]
+        top = F.greatest(*z)
+        best: Column = F.lit(CLASSES[-1])
+        for i in reversed(range(len(CLASSES) - 1)):
+            best = F.when(z[i] == top, CLASSES[i]).otherwise(best)
+        total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
+        return df.withColumns({"best": best, "score": 1 / total})
+
+    sums = [f"l{i}" for i in range(len(CLASSES))]
+    hit = judged(hit).where("best <> 'none' or par < 0")
     hit = ws.keep(hit.withColumn("family", F.when(F.col("score") < model.threshold, "other").otherwise(F.col("best"))))
-    # some hundred rows; only grams with a weight can be found again
-    shares = hit.select("rid", "par", "family", F.explode("grams").alias("gram")).join(F.broadcast(notices), ["gram", "family"]).groupBy("rid", "par", "notice").agg((F.count("*") / F.first("size")).alias("share"))
-    shares = shares.groupBy("rid", "par").agg(F.max("share").alias("overlap"))
-    out = hit.drop("grams", "best").join(shares, ["rid", "par"], "left")
+    # predicted paragraphs in a row form a run; those of no sure family are judged together
+    lines = hit.where("par >= 0").withColumn("run", F.col("par") - F.row_number().over(Window.partitionBy("rid").orderBy("par")))
+    lines = ws.keep(lines.select("rid", "run", "par", "family", "words", *sums))
+    together = judged(lines.where("family = 'other'").groupBy("rid", "run").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n")).where("n > 1"))
+    together = together.where(~F.col("best").isin("none", "other") & (F.col("score") >= model.threshold)).select("rid", "run", F.lit("other").alias("family"), F.col("best").alias("r_family"), F.col("score").alias("r_score"))
+    lines = lines.drop(*sums).join(together, ["rid", "run", "family"], "left").withColumn("family", F.coalesce("r_family", "family"))
+    two = F.expr("zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b))")
+    held = lines.select("rid", "run", F.explode(two).alias("gram")).distinct()
+    # some two thousand rows of notices
+    shares = held.join(F.broadcast(notices), "gram").groupBy("rid", "run", "family", "notice").agg((F.count("*") / F.first("size")).alias("share"))
+    shares = shares.groupBy("rid", "run", "family").agg(F.max("share").alias("overlap"))
+    shares = lines.select("rid", "run", "par", "family", "r_family", "r_score").join(shares, ["rid", "run", "family"], "left").select("rid", "par", "r_family", "r_score", "overlap")
+    out = hit.drop("words", "best", *sums).join(shares, ["rid", "par"], "left")
+    out = out.withColumns({"family": F.coalesce("r_family", "family"), "score": F.coalesce("r_score", "score")})
     overlap = F.coalesce("overlap", F.lit(0.0))
     return out.select("rid", "doc_id", "n_paragraphs", "par", "family", F.round("score", 6).alias("score"), F.round(overlap, 6).alias("overlap"), (overlap >= CONFIRM).alias("confirmed"))
 
