@@ -1,6 +1,7 @@
 """Chat formatting: nothing of a call or result is lost, and arguments are checked against the whole schema."""
 
 import json
+import random
 
 from tidemark.llm import chat
 
@@ -51,3 +52,79 @@ def test_arguments_are_checked_at_any_depth(spark):
     got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[2 * i + 1].status for i in range(len(cases))] == [c[2] for c in cases]
     assert [got[2 * i + 1].n_invalid for i in range(len(cases))] == [int(c[2] in ("invalid", "unknown_tool")) for c in cases]
+
+
+def test_calls_of_functions(spark):
+    tools = {"tools": [{"type": "function", "function": {"name": "f", "parameters": {"required": ["x"], "properties": {"x": {"type": "integer"}}}}}]}
+    call = lambda i, said: {"id": i, "type": "function", "function": {"name": "f", "arguments": said}}
+    said = {"content": None, "tool_calls": [call("a", '{"y": 2, "x": 1}'), call("b", '{"x": "1"}'), call("c", '{"x": 1'), call("d", {"x": 3})]}
+    rows = [(1, 0, "system", json.dumps(tools))] + [(1, 1 + i, "assistant", json.dumps(said | {"tool_calls": [c]})) for i, c in enumerate(said["tool_calls"])]
+    rows += [(1, 10 + i, "tool", json.dumps({"tool_call_id": c["id"], "content": "r"})) for i, c in enumerate(said["tool_calls"])]
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].status for i in range(1, 5)] == ["ok", "invalid", "invalid", "ok"]
+    assert got[1].json == '{"content":null,"role":"assistant","tool_calls":[{"function":{"arguments":"{\\"x\\":1,\\"y\\":2}","name":"f"},"id":"a","type":"function"}]}'
+    assert json.loads(got[3].json)["tool_calls"][0] == call("c", '{"x": 1') and json.loads(got[4].json)["tool_calls"][0] == call("d", {"x": 3})
+
+
+def plain_links(rows):
+    """(conv, turn) -> (anchor, level, step, n_calls, n_linked, status) of conversations whose turns are all different."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(r for r in rows if r[0] == conv)
+        objects = {t: json.loads(x) if role in ("assistant", "tool") and x.startswith("{") else {} for _, t, role, x in mine}
+        owner, answer = {}, {}
+        for _, t, role, _ in mine:
+            for c in objects[t].get("tool_calls", ()) if role == "assistant" else ():
+                owner.setdefault(c["id"], (t, c))
+            if role == "tool" and "tool_call_id" in objects[t]:
+                answer.setdefault(objects[t]["tool_call_id"], t)
+        known = {}
+        while True:
+            new = {}
+            for i, (t, c) in owner.items():
+                needs = [n for n in c.get("depends_on", ()) if n in owner]
+                if i not in known and all(n in known for n in needs):
+                    new[i] = (max([known[n][0] + 1 for n in needs], default=0), max([t, *(max(known[n][1], answer.get(n, -1)) for n in needs)]))
+            if not new:
+                break
+            known |= new
+        worst = ["ok", "unanswered", "cycle", "duplicate"]
+        for _, t, role, _ in mine:
+            calls = objects[t].get("tool_calls", ()) if role == "assistant" else ()
+            result = objects[t].get("tool_call_id") if role == "tool" else None
+            if calls:
+                states, levels, anchors = [], [], []
+                for c in calls:
+                    first = owner[c["id"]] == (t, c)
+                    states.append("duplicate" if not first else "cycle" if c["id"] not in known else "ok" if c["id"] in answer else "unanswered")
+                    if c["id"] in known:
+                        levels.append(known[c["id"]][0])
+                        anchors.append(known[c["id"]][1])
+                linked = sum(c["id"] in answer and owner[c["id"]] == (t, c) for c in calls)
+                out[conv, t] = (max(anchors, default=t), max(levels, default=0), 0, len(calls), linked, max(states, key=worst.index))
+            elif result is not None:
+                state = "orphan" if result not in owner else "ok" if answer[result] == t else "repeated"
+                level, anchor = known.get(result, (0, owner[result][0] if result in owner else t))
+                out[conv, t] = (max(t, anchor), level if result in owner else 0, 1, 0, 0, state)
+            else:
+                out[conv, t] = (t, 0, 0, 0, 0, None)
+    return out
+
+
+def test_links_levels_and_states_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for conv in range(60):
+        ids = [f"i{k}" for k in range(rng.randint(1, 6))]
+        for turn in range(rng.randint(2, 14)):
+            role = rng.choice(["assistant", "tool", "user"])
+            if role == "assistant":
+                calls = [{"id": rng.choice(ids), "name": "f", "arguments": {"k": rng.random()}, "depends_on": rng.sample(ids, rng.randint(0, min(2, len(ids))))} for _ in range(rng.randint(1, 2))]
+                rows.append((conv, turn, role, json.dumps({"tool_calls": calls})))
+            else:
+                rows.append((conv, turn, role, json.dumps({"tool_call_id": rng.choice([*ids, "none"])}) if role == "tool" else "said"))
+    # a chain of ten calls, in the wrong order
+    rows.append((100, 0, "assistant", json.dumps({"tool_calls": [{"id": f"{k}", "name": "f", "arguments": {}, "depends_on": [f"{k + 1}"] if k < 9 else []} for k in range(10)]})))
+    got = {(r.conv_id, r.turn): (r.anchor, r.level, r.step, r.n_calls, r.n_linked, r.status) for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain_links(rows)
+    assert got[100, 0][1] == 9 and {s for *_, s in got.values()} == {"ok", "unanswered", "cycle", "duplicate", "orphan", "repeated", None}

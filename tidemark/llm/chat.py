@@ -2,8 +2,8 @@
 
 A message is a row (conv_id, turn, role, text).  The text of an assistant message may be a JSON object with
 `tool_calls`, a list of {"id", "name", "arguments", "depends_on"} (arguments: any JSON value; depends_on: ids of
-calls whose results it uses); the text of a `tool` message may be {"tool_call_id", "content"}; that of a
-`system` message may be {"tools": [{"name", "parameters"}]}, where parameters is a schema with `required` (names) and
+calls whose results it uses), or of {"id", "function": {"name", "arguments"}}, where arguments is a string of JSON; the text of a `tool` message may be {"tool_call_id", "content"}; that of a
+`system` message may be {"tools": [{"name", "parameters"}]}, or the same within `function`, where parameters is a schema with `required` (names) and
 `properties` (name -> {"type"}).  Any other text is content, and so is an object that repeats a key.  All else that the
 object of a call or a result holds, `content` beside calls included, stays in its JSON.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-TOOLS = "struct<tools:array<struct<name:string,parameters:variant>>>"
+TOOLS = "struct<tools:array<struct<name:string,parameters:variant,function:struct<name:string,parameters:variant>>>>"
 TYPES = ("string", "integer", "number", "boolean", "object", "array", "null")
 #: keywords of a schema that are checked, and those that say nothing about a value
 CHECKED = ("type", "enum", "required", "properties", "additionalProperties", "items")
@@ -46,8 +46,18 @@ def _object() -> Column:
 
 
 def _calls() -> Column:
-    """The calls of an object: id, name, arguments, depends_on, and as `all` the whole call."""
-    one = "named_struct('id', try_variant_get(c, '$.id', 'string'), 'name', try_variant_get(c, '$.name', 'string'), 'arguments', try_variant_get(c, '$.arguments', 'variant'), 'depends_on', try_variant_get(c, '$.depends_on', 'array<string>'), 'all', c)"
+    """The calls of an object: id, name, arguments, depends_on, malformed (a string of arguments that isn't JSON), as
+    `all` the whole call, and its function."""
+    get = lambda path, kind: f"try_variant_get(c, '$.{path}', '{kind}')"
+    said = get("function.arguments", "string")
+    wrapped = f"coalesce(schema_of_variant({get('function', 'variant')}) like 'OBJECT%', false)"
+    text = f"{wrapped} and coalesce(schema_of_variant({get('function.arguments', 'variant')}) = 'STRING', false)"
+    one = (
+        f"named_struct('id', {get('id', 'string')}, 'name', if({wrapped}, {get('function.name', 'string')}, {get('name', 'string')}),"
+        f" 'arguments', case when {text} then try_parse_json({said}) when {wrapped} then {get('function.arguments', 'variant')} else {get('arguments', 'variant')} end,"
+        f" 'depends_on', {get('depends_on', 'array<string>')}, 'malformed', {text} and try_parse_json({said}) is null, 'all', c,"
+        f" 'function', if({wrapped}, {get('function', 'variant')}, null), 'text', if({text}, {said}, null))"
+    )
     return F.expr(f"case when role = 'assistant' then transform(try_variant_get(object, '$.tool_calls', 'array<variant>'), c -> {one}) end")
 
 
@@ -117,7 +127,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     status: null for plain messages; for calls the worst of ok, unanswered, unchecked, invalid, unknown_tool, cycle,
     duplicate; for results ok, orphan, repeated (a later result of an answered call).  A call is invalid if its
-    arguments break type, enum, required, properties, additionalProperties or items of the schema at any depth,
+    arguments break type, enum, required, properties, additionalProperties or items of the schema at any depth, or
+    are a string that isn't JSON (which then stays as it is),
     unchecked if they don't but the schema says more (other keywords or types), and unknown_tool if its
     conversation declares tools but not this one; a conversation without declarations isn't validated.  json
     is the message with sorted keys: content, role, tool_calls, tool_call_id, as far as present, and the other keys of a
@@ -132,37 +143,40 @@ def format_chats(messages: DataFrame) -> DataFrame:
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
 
     calls = rows.where("size(calls) > 0").select(conv.alias("conv"), "mid", "at", F.posexplode("calls").alias("pos", "call"))
-    calls = calls.select("conv", "mid", "at", "pos", *[f"call.{c}" for c in ("id", "name", "arguments", "depends_on")]).withColumn("order", F.struct("at", "mid", "pos"))
+    calls = calls.select("conv", "mid", "at", "pos", *[f"call.{c}" for c in ("id", "name", "arguments", "depends_on", "malformed")]).withColumn("order", F.struct("at", "mid", "pos"))
     owners = calls.where("id is not null").groupBy("conv", "id").agg(F.min("order").alias("owner"))
     calls = calls.join(owners, ["conv", "id"], "left").withColumn("duplicate", F.coalesce(F.col("owner") != F.col("order"), F.lit(False)))
 
     declared = rows.where("size(tools) > 0").select(conv.alias("conv"), F.explode("tools").alias("tool"))
-    declared = declared.select("conv", "tool.*").where("name is not null").groupBy("conv", "name").agg(F.first("parameters", True).alias("parameters"), F.lit(True).alias("declared"))
+    declared = declared.select("conv", F.coalesce("tool.name", "tool.function.name").alias("name"), F.coalesce("tool.parameters", "tool.function.parameters").alias("parameters")).where("name is not null").groupBy("conv", "name").agg(F.first("parameters", True).alias("parameters"), F.lit(True).alias("declared"))
     with_tools = declared.select("conv").distinct().withColumn("checked", F.lit(True))
     calls = calls.join(declared, ["conv", "name"], "left").join(with_tools, "conv", "left")
     shape = F.coalesce(~F.schema_of_variant("arguments").startswith("OBJECT"), F.lit(False)) & F.col("declared")
     judged = _judged(ws, calls.where("parameters is not null").select("mid", "pos", F.coalesce("arguments", F.expr("parse_json('{}')")).alias("v"), F.col("parameters").alias("s")))
     calls = calls.join(judged, ["mid", "pos"], "left")
-    fault = F.when(F.col("checked") & F.col("declared").isNull(), "unknown_tool").when(F.coalesce(F.col("bad"), F.lit(False)) | F.coalesce(shape, F.lit(False)), "invalid").when(F.col("open"), "unchecked")
+    fault = F.when(F.col("checked") & F.col("declared").isNull(), "unknown_tool").when(F.coalesce(F.col("bad"), F.lit(False)) | F.coalesce(shape, F.lit(False)) | F.coalesce("malformed", F.lit(False)), "invalid").when(F.col("open"), "unchecked")
     calls = ws.keep(calls.select("conv", "mid", "pos", "at", "id", "duplicate", "depends_on", fault.alias("fault")))
 
     results = rows.where("result_of is not null").select(conv.alias("conv"), "mid", "at", F.col("result_of").alias("id"))
     firsts = results.groupBy("conv", "id").agg(F.min(F.struct("at", "mid")).alias("first"))
 
-    # rounds: (conv, id, level, anchor) of the calls whose order is known
+    # rounds: (conv, id, level, anchor) of the calls whose order is known; a round looks at the calls of the last one
     nodes = calls.where("id is not null and not duplicate")
     needs = nodes.select("conv", "id", F.explode("depends_on").alias("need")).where("need is not null").distinct()
     needs = ws.keep(needs.join(nodes.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_semi"))
-    done = ws.keep(nodes.join(needs, ["conv", "id"], "left_anti").select("conv", "id", F.lit(0).alias("level"), F.col("at").alias("anchor")))
+    fresh = ws.keep(nodes.join(needs, ["conv", "id"], "left_anti").select("conv", "id", F.lit(0).alias("level"), F.col("at").alias("anchor")))
     answers = firsts.select("conv", "id", F.col("first.at").alias("answered"))
-    fresh = 0 if needs.isEmpty() else 1
-    while fresh:
-        ready = needs.join(done.join(answers, ["conv", "id"], "left").select("conv", F.col("id").alias("need"), "level", F.greatest("anchor", "answered").alias("anchor")), ["conv", "need"], "left")
-        ready = ready.groupBy("conv", "id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("anchor").alias("anchor")).where("open = 0")
-        ready = ready.join(done, ["conv", "id"], "left_anti").select("conv", "id", (F.col("level") + 1).cast("int").alias("level"), "anchor")
-        ready = ws.keep(ready.join(nodes.select("conv", "id", "at"), ["conv", "id"]).select("conv", "id", "level", F.greatest("anchor", "at").alias("anchor")))
-        fresh = ready.count()
-        done = done.union(ready) if fresh else done
+    rounds = [fresh]
+    waiting = needs.groupBy("conv", "id").agg(F.count("*").alias("open")).join(nodes.select("conv", "id", F.col("at").alias("anchor")), ["conv", "id"])
+    waiting = ws.keep(waiting.select("conv", "id", "open", F.lit(0).alias("level"), "anchor"))
+    while not waiting.isEmpty() and not fresh.isEmpty():
+        given = fresh.join(answers, ["conv", "id"], "left").select("conv", F.col("id").alias("need"), (F.col("level") + 1).alias("over"), F.greatest("anchor", "answered").alias("after"))
+        given = needs.join(given, ["conv", "need"]).groupBy("conv", "id").agg(F.count("*").alias("met"), F.max("over").alias("over"), F.max("after").alias("after"))
+        told = waiting.join(given, ["conv", "id"], "left").select("conv", "id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", "over").alias("level"), F.greatest("anchor", "after").alias("anchor"))
+        told = ws.keep(told)
+        fresh, waiting = told.where("open = 0").drop("open"), told.where("open > 0")
+        rounds.append(fresh)
+    done = reduce(DataFrame.unionByName, rounds)
 
     state = calls.join(done, ["conv", "id"], "left").join(answers, ["conv", "id"], "left")
     cyclic = F.col("id").isNotNull() & ~F.col("duplicate") & F.col("level").isNull()
@@ -180,7 +194,10 @@ def format_chats(messages: DataFrame) -> DataFrame:
     names_ = F.array(*[F.lit(x) for x in ("ok", "unanswered", "unchecked", "invalid", "unknown_tool", "cycle", "duplicate")])
     text = lambda c: F.when(c.isNotNull(), _quoted(c))
     call_json = F.transform(
-        "calls", lambda c: F.coalesce(_written(_fields(c["all"]), {"id": text(c["id"]), "name": text(c["name"]), "arguments": F.coalesce(canonical(c["arguments"]), F.lit("null"))}), canonical(c["all"]))
+        "calls",
+        lambda c: F.when(c["function"].isNull(), F.coalesce(_written(_fields(c["all"]), {"id": text(c["id"]), "name": text(c["name"]), "arguments": F.coalesce(canonical(c["arguments"]), F.lit("null"))}), canonical(c["all"]))).otherwise(
+            _written(_fields(c["all"]), {"id": text(c["id"]), "function": _written(_fields(c["function"]), {"name": text(c["name"]), "arguments": F.when(c["text"].isNotNull(), text(F.coalesce(canonical(c["arguments"]), c["text"])))})})
+        ),
     )
     # what isn't a call or a result is content as it stands
     is_call, is_result = F.coalesce(F.size("calls") > 0, F.lit(False)), F.col("result_of").isNotNull()
