@@ -1,6 +1,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import codecs
 from tidemark.sources import records as R
@@ -118,3 +119,65 @@ def test_bloom_and_lzw():
     for n in (0, 1, 257, 5000, 100000):
         x = bytes(i * i % 251 for i in range(n))
         assert codecs.lzw_decompress(codecs.lzw_compress(x)) == x
+
+
+def test_checksums_byte_by_byte():
+    import os
+
+    for crc in (codecs.crc32c, codecs.crc64_iso):
+
+        def slow(data):
+            c = crc.ones
+            for b in data:
+                c = c >> 8 ^ crc.table[(c ^ b) & 255]
+            return c ^ crc.ones
+
+        values = [os.urandom(n) for n in (0, 1, 3, 7, 8, 47, 48, 1023, 1024, 1025, 1031, 2050)] + [os.urandom(1027) for _ in range(70)] + [os.urandom(2) for _ in range(70)]
+        assert [crc(v) for v in values] == [slow(v) for v in values] == crc.column(values)
+        assert crc.column([None, b"a"]) == [None, slow(b"a")]
+
+
+def test_tables_side_by_side(spark, tmp_path):
+    R.register(spark)
+    path = str(tmp_path / "tables")
+    rows = spark.range(60_000).selectExpr("id % 3 as gen", "cast(lpad(cast(id as string), 9, '0') as binary) as key", "if(id % 100 = 7, null, cast(repeat('v', 20) as binary)) as value")
+    R.save_tables(rows, path, "none")
+    table = spark.read.format("sortedtable").load(path)
+    assert table.count() == 60_000 and table.where("value is null").count() == 600
+    one = f"{41_234:09d}".encode()
+    assert [(r.gen, bytes(r.key)) for r in table.where(f"key = X'{one.hex()}'").collect()] == [(41_234 % 3, one)]
+    assert table.where(f"key >= X'{one.hex()}' and key <= X'{b'000041999'.hex()}'").count() == 41_999 - 41_234 + 1
+    with open(f"{path}/gen_{1:015d}/bloom.bin", "rb") as file:
+        bloom = codecs.Bloom.load(file.read())
+    assert all(f"{i:09d}".encode() in bloom for i in range(1, 60_000, 3)) and sum(f"{i:09d}".encode() in bloom for i in range(0, 60_000, 3)) < 1000
+    # a table that exists isn't written again, and a repeated key is refused
+    for bad in (rows.limit(3), rows.limit(2).union(rows.limit(2)).withColumn("gen", F.lit(9).cast("long"))):
+        with pytest.raises(Exception):  # noqa: B017
+            R.save_tables(bad, path)
+    assert spark.read.format("sortedtable").load(path).count() == 60_000
+
+
+def test_log_segments_size_and_cleaner(spark, tmp_path):
+    R.register(spark)
+    path = str(tmp_path / "log")
+    rows = spark.range(1000).selectExpr("cast(id div 100 as int) as segment", "cast(id as string) as k").selectExpr("segment", "cast(k as binary) as key", "if(k like '%3', null, cast(k as binary)) as value").repartition("segment").sortWithinPartitions("segment", "key")
+    R.encode_mutations(rows).write.format("log").mode("append").save(path)
+    back = R.decode_mutations(spark.read.format("log").load(path))
+    assert back.count() == 1000 and back.where("op = 'DEL'").count() == 100
+    assert len(R.clean_log(path, 4)) == 4
+    assert R.decode_mutations(spark.read.format("log").load(path)).count() == 600
+    more = R.LogAppender(path, 1 << 20)
+    more.append(R.mutation("PUT", b"k", b"v"))
+    more.close()
+    assert (tmp_path / "log" / "000010.wal").exists()
+    spark.range(10).selectExpr("cast(cast(id as string) as binary) as record").coalesce(1).write.format("records").mode("append").save(str(tmp_path / "r"))
+    assert R.records_size(str(tmp_path / "r")) == 8 + 10 * len(R.put_record(b"1", 0))
+
+
+def test_messages(spark, tmp_path):
+    wrappers = pytest.importorskip("google.protobuf.struct_pb2")
+    R.register(spark)
+    docs = spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"b":"y"}',), (None,)], "json string")
+    R.encode_messages(docs, wrappers.Struct).write.format("records").mode("append").save(str(tmp_path / "m"))
+    got = R.typed_messages(spark.read.format("records").load(str(tmp_path / "m")), wrappers.Struct, "a double, b string").collect()
+    assert {(r.a, r.b) for r in got} == {(1.0, "x"), (None, "y"), (None, None)} and len(got) == 3

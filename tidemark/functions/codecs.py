@@ -22,23 +22,84 @@ def _crc_table(poly: int, bits: int) -> list[int]:
     return table
 
 
-_CASTAGNOLI = _crc_table(0x82F63B78, 32)
-_ISO = _crc_table(0xD800000000000000, 64)
-
-
-def _crc(table: list[int], ones: int, data: bytes) -> int:
-    c = ones
-    for b in data:
-        c = c >> 8 ^ table[(c ^ b) & 255]
-    return c ^ ones
-
-
-def crc32c(data: bytes) -> int:
-    return _crc(_CASTAGNOLI, 0xFFFFFFFF, data)
-
-
-def crc64_iso(data: bytes) -> int:
-    return _crc(_ISO, 0xFFFFFFFFFFFFFFFF, data)
+#: bytes that are summed at once
+_RUN = 1024
+
+
+class _Crc:
+    """A reflected CRC with all ones before and after.
+
+    It is linear: what a byte adds depends on the byte and on how many follow, so a run of bytes is one look-up in
+    a table by position and one exclusive or over what it finds; short data go byte by byte.
+    """
+
+    def __init__(self, poly: int, bits: int):
+        self.table, self.bits, self.ones = _crc_table(poly, bits), bits, (1 << bits) - 1
+        self.kind = np.uint32 if bits == 32 else np.uint64
+        self._places: np.ndarray | None = None
+
+    @property
+    def places(self) -> np.ndarray:
+        """places[j, b]: what byte b adds if j more bytes follow."""
+        if self._places is None:
+            table = np.array(self.table, self.kind)
+            out = np.empty((_RUN, 256), self.kind)
+            out[0] = table
+            for j in range(1, _RUN):
+                out[j] = out[j - 1] >> self.kind(8) ^ table[(out[j - 1] & self.kind(255)).astype(np.intp)]
+            self._places = out
+        return self._places
+
+    def __call__(self, data: bytes) -> int:
+        c = self.ones
+        if len(data) < 48:
+            table = self.table
+            for b in data:
+                c = c >> 8 ^ table[(c ^ b) & 255]
+            return c ^ self.ones
+        return int(self.many(np.frombuffer(data, np.uint8)[None])[0])
+
+    def many(self, rows: np.ndarray) -> np.ndarray:
+        """The CRCs of the rows of a matrix of bytes."""
+        width, flat = self.bits // 8, self.places.reshape(-1)
+        c = np.full(len(rows), self.ones, self.kind)
+        for at in range(0, rows.shape[1], _RUN):
+            part = rows[:, at : at + _RUN]
+            n = part.shape[1]
+            # the state so far is added to the first bytes; what of it lies beyond a short run moves on
+            head = c.astype(self.kind).view(np.uint8).reshape(len(rows), width)
+            k = min(n, width)
+            if len(rows) >= 64:  # place by place: a small table each, for many rows
+                turned = np.array(part.T, order="C")
+                turned[:k] ^= head[:, :k].T
+                c = c >> self.kind(8 * n) if n < width else np.zeros(len(rows), self.kind)
+                for j in range(n):
+                    c ^= self.places[n - 1 - j].take(turned[j])
+                continue
+            index = part.astype(np.intp)
+            index[:, :k] ^= head[:, :k]
+            index += np.arange(n - 1, -1, -1, dtype=np.intp) * 256
+            c = np.bitwise_xor.reduce(flat[index], 1) ^ (c >> self.kind(8 * n) if n < width else self.kind(0))
+        return c ^ self.kind(self.ones)
+
+    def column(self, values: list[bytes | None]) -> list[int | None]:
+        """The CRCs of many values, those of one length together."""
+        out: list[int | None] = [None] * len(values)
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(values):
+            if v is not None:
+                by.setdefault(len(v), []).append(i)
+        for n, where in by.items():
+            step = max(64, (1 << 21) // max(1, n))
+            for at in range(0, len(where), step):
+                some = where[at : at + step]
+                rows = np.frombuffer(b"".join(bytes(values[i]) for i in some), np.uint8).reshape(len(some), n)
+                for i, c in zip(some, self.many(rows).tolist()):
+                    out[i] = c
+        return out
+
+
+crc32c, crc64_iso = _Crc(0x82F63B78, 32), _Crc(0xD800000000000000, 64)
 
 
 def fnv1_64(data: bytes) -> int:
@@ -48,6 +109,20 @@ def fnv1_64(data: bytes) -> int:
     return h
 
 
+def fnv1_64_many(values: list[bytes]) -> np.ndarray:
+    """The hashes of many values, those of one length together."""
+    out = np.zeros(len(values), np.uint64)
+    lengths = np.array([len(v) for v in values], np.int64)
+    for n in np.unique(lengths).tolist():
+        where = np.flatnonzero(lengths == n)
+        rows = np.frombuffer(b"".join(bytes(values[i]) for i in where.tolist()), np.uint8).reshape(len(where), n)
+        h = np.full(len(where), 0xCBF29CE484222325, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x100000001B3) ^ rows[:, j]
+        out[where] = h
+    return out
+
+
 def signed(x: int) -> int:
     """The bit pattern of an unsigned 64-bit number as a long."""
     return x - (1 << 64) if x >> 63 else x
@@ -177,15 +252,23 @@ COMPRESSORS: dict[int, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]
 CODES = {"none": 0, "gzip": 1, "snappy": 2, "lzw": 3}
 
 
-def _column(f: Callable[[bytes], int]):
+def _column(f: Callable[[list[bytes | None]], list[int | None]]):
     @F.pandas_udf(LongType())
     def apply(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else signed(f(bytes(v))) for v in values], dtype="Int64")
+        return pd.Series([None if x is None else signed(x) for x in f(list(values))], dtype="Int64")
 
     return apply
 
 
-crc64_iso_udf, crc32c_udf, fnv1_64_udf = _column(crc64_iso), _column(crc32c), _column(fnv1_64)
+crc64_iso_udf, crc32c_udf = _column(crc64_iso.column), _column(crc32c.column)
+
+
+def _fnv(values: list[bytes | None]) -> list[int | None]:
+    known = iter(fnv1_64_many([v for v in values if v is not None]).tolist())
+    return [None if v is None else next(known) for v in values]
+
+
+fnv1_64_udf = _column(_fnv)
 
 
 class Bloom:
@@ -203,8 +286,26 @@ class Bloom:
         step = (h >> 33 | h << 31 & 0xFFFFFFFFFFFFFFFF) | 1
         return [(h + i * step) % self.size for i in range(self.hashes)]
 
+    def add_hashes(self, hashes: np.ndarray) -> None:
+        step = (hashes >> np.uint64(33) | hashes << np.uint64(31)) | np.uint64(1)
+        for i in range(self.hashes):
+            # as in _places, without the overflow of 64 bits
+            size = np.uint64(self.size)
+            self.bits[(hashes % size + np.uint64(i) * (step % size)) % size] = True
+
     def add(self, key: bytes) -> None:
         self.bits[self._places(key)] = True
 
     def __contains__(self, key: bytes) -> bool:
         return bool(self.bits[self._places(key)].all())
+
+    def dump(self) -> bytes:
+        """Bits and hashes as two 8-byte numbers, then the bits, packed."""
+        return self.size.to_bytes(8, "little") + self.hashes.to_bytes(8, "little") + np.packbits(self.bits).tobytes()
+
+    @classmethod
+    def load(cls, data: bytes) -> Bloom:
+        out = cls.__new__(cls)
+        out.size, out.hashes = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+        out.bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=16), count=out.size).astype(bool)
+        return out

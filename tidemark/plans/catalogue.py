@@ -332,7 +332,19 @@ def read_after_write_check(spark, d):
     return history.sequential(h).select("seq", "key", "expected")
 
 
-@query(None)
+def _crc64_sql() -> str:
+    """The checksum byte by byte, by a table of its polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xD800000000000000 if c & 1 else 0)
+        table.append(c)
+    ones = f"{2**64 - 1}::ubigint"
+    steps = f"list_reduce(list_prepend({ones}, bytes), lambda c, b: xor(c >> 8::ubigint, t[cast(xor(c & 255::ubigint, b) as integer) + 1]))"
+    return _with(O, f", k as (select [{', '.join(f'{x}::ubigint' for x in table)}] as t), v as (select \"key\", list_transform(range(1, strlen(value) + 1), lambda i: cast(ascii(substr(value, i, 1)) as ubigint)) as bytes from o)", select=f'select "key", hex(xor({steps}, {ones})) as checksum from v, k')
+
+
+@query(_crc64_sql())
 def value_checksums(spark, d):
     """CRC-64 of each value, as sorted tables store it."""
     from ..functions.codecs import crc64_iso_udf
@@ -352,3 +364,79 @@ def int_keys(spark, d):
     from ..functions.keys import int_key
 
     return _read(spark, d, "orders").select("o_orderkey", F.hex(int_key(F.col("o_orderkey"), 4)).alias("key_hex"))
+
+
+# --- the native sources: written by the library's writers into the shared folder and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
+    import atexit
+    import shutil
+    import tempfile
+    import uuid
+
+    from ..sources import records
+
+    records.register(spark)
+    base = (spark.conf.get("spark.checkpoint.dir", "") or "").removeprefix("file://")
+    path = f"{base or tempfile.gettempdir()}/native-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def _bytes(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.encode(c, "UTF-8") for c in ("key", "value")})
+
+
+def _text(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), *more)
+
+
+@query(_with(O, select="select * from o"))
+def native_records(spark, d):
+    """Compressed record files, written side by side and scanned in splits."""
+    path = _folder(spark)
+    o = _orders(spark, d).select(F.encode(F.concat_ws("|", "key", "value"), "UTF-8").alias("record"))
+    o.write.format("records").option("compression", "snappy").mode("append").save(path)
+    parts = F.split(F.decode("record", "UTF-8"), r"\|")
+    return spark.read.format("records").option("splitBytes", 1 << 20).load(path).select(parts[0].alias("key"), parts[1].alias("value"))
+
+
+@query(_with(M, ', r as (select *, row_number() over (partition by "key" order by seq desc) as rn from m)', select='select "key", value from r where rn = 1'))
+def native_log_replay(spark, d):
+    """The log as native segments of mutations, replayed: the latest version of each key, tombstones included."""
+    from ..sources import records
+
+    path = _folder(spark)
+    log = _bytes(_log(spark, d)).select(F.col("gen").cast("int").alias("segment"), "seq", "key", "value").repartition("segment").sortWithinPartitions("segment", "seq")
+    records.encode_mutations(log).write.format("log").mode("append").save(path)
+    rows = records.decode_mutations(spark.read.format("log").load(path))
+    return _text(versions.keep_latest(versions.from_mutations(rows), "seq"))
+
+
+def _native(spark, d) -> DataFrame:
+    from ..sources import records
+
+    path = _folder(spark)
+    records.save_tables(_bytes(_tables(spark, d)), path)
+    return spark.read.format("sortedtable").load(path)
+
+
+@query(_with(T_, select="select \"key\", value, cast(dense_rank() over (order by gen) - 1 as bigint) as gen from t"))
+def native_table_scan(spark, d):
+    """Native sorted tables, one a generation, read back with their checksums checked."""
+    return _text(_native(spark, d), "gen")
+
+
+@query(_with(T_, select="select \"key\", value from (select *, row_number() over (partition by \"key\" order by gen desc) as rn from t) where rn = 1 and value is not null and \"key\" between '0000000010' and '0000000050'"))
+def native_table_range(spark, d):
+    """A key range of stacked native tables; the index is searched and left early."""
+    low, high = (F.lit(bytearray(b"0000000010")), F.lit(bytearray(b"0000000050")))
+    return _text(versions.live(_native(spark, d).where((F.col("key") >= low) & (F.col("key") <= high)).select("key", "value", "gen")))
+
+
+@query(_with(T_, select="select \"key\", value, cast(dense_rank() over (order by gen) - 1 as bigint) as gen from t qualify \"key\" = '0000000007'"))
+def native_table_get(spark, d):
+    """One key of all native tables; a table whose Bloom filter lacks it isn't searched."""
+    return _text(_native(spark, d).where(F.col("key") == F.lit(bytearray(b"0000000007"))), "gen")

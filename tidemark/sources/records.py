@@ -46,6 +46,41 @@ def open_head(data: bytes) -> tuple[int, int]:
     return version, code
 
 
+_MARK = codecs.put_uvarint(MAGIC)
+
+
+def _quick(data: bytes, at: int, code: int) -> tuple[bytes | None, int] | None:
+    """What read_at returns for a whole record of version 4, or None if anything is odd, which read_at then tells."""
+    head = data[at : at + 40]
+    if head[:3] != _MARK:
+        return None
+    numbers, i = [], 4
+    try:
+        for _ in range(3):
+            x = shift = 0
+            while (b := head[i]) > 127:
+                x |= (b & 127) << shift
+                shift += 7
+                i += 1
+            numbers.append(x | b << shift)
+            i += 1
+            if len(numbers) == 2:
+                end = i
+    except IndexError:
+        return None
+    raw, packed, want = numbers
+    if codecs.crc32c(head[:end]) != want:
+        return None
+    if head[3] == 1:
+        return None, at + i
+    codec = codecs.COMPRESSORS[code]
+    size = packed if codec else raw
+    payload = data[at + i : at + i + size]
+    if len(payload) != size or not size and at + i >= len(data):
+        return None
+    return (codec[1](payload) if codec else payload), at + i + size
+
+
 def read_at(data: bytes, at: int, version: int, code: int, skip: bool = False) -> tuple[bytes | None, int]:
     """(record or None for nil, position after it); EOFError if the data ends within its header."""
     start = at
@@ -57,6 +92,9 @@ def read_at(data: bytes, at: int, version: int, code: int, skip: bool = False) -
         if magic != MAGIC:
             raise RecordError("MAGIC", start)
     else:
+        quick = _quick(data, at, code) if version == 4 else None
+        if quick is not None and not skip:
+            return quick
         magic, at = codecs.get_uvarint(data, at)
         if magic != MAGIC:
             raise RecordError("MAGIC", start)
@@ -265,10 +303,46 @@ class _LogReader(DataSourceReader):
     def read(self, span):
         if not span.path:
             return
-        with open(span.path, "rb") as file:
-            data = file.read()
-        for i, (_, record) in enumerate(read_records(data, tolerate_torn_tail=self.torn)):
-            yield os.path.basename(span.path), span.seq, i, record
+        import mmap
+
+        with open(span.path, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            for i, (_, record) in enumerate(read_records(data, tolerate_torn_tail=self.torn)):
+                yield os.path.basename(span.path), span.seq, i, record
+
+
+class _LogWriter(_RecordWriter):
+    """Rows (segment, record) whose segments come one after the other in each task: a file of that number for each;
+    a segment that exists or that two tasks write is an error."""
+
+    def write(self, iterator):
+        from itertools import groupby
+
+        os.makedirs(self.path, exist_ok=True)
+        message = WriterCommitMessage()
+        message.names = []
+        for segment, rows in groupby(iterator, key=lambda r: r["segment"]):
+            name = os.path.join(self.path, f".{segment:06d}-{uuid.uuid4().hex}")
+            with open(name, "xb") as file:
+                file.write(file_head(self.code))
+                for row in rows:
+                    file.write(put_record(None if row["record"] is None else bytes(row["record"]), self.code))
+                file.flush()
+                os.fsync(file.fileno())
+            message.names.append((name, os.path.join(self.path, f"{segment:06d}.wal")))
+        return message
+
+    def commit(self, messages):
+        names = [x for m in messages if m is not None for x in m.names]
+        for name, final in names:
+            os.link(name, final)  # fails if it exists
+        for name, _ in names:
+            os.remove(name)
+
+    def abort(self, messages):
+        for m in messages:
+            for name, _ in m.names if m is not None else ():
+                if os.path.exists(name):
+                    os.remove(name)
 
 
 class LogSource(DataSource):
@@ -284,6 +358,9 @@ class LogSource(DataSource):
     def reader(self, schema):
         return _LogReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _LogWriter(self.options, overwrite)
+
 
 # --- protobuf fields, as far as the formats need them
 
@@ -350,22 +427,92 @@ class _TableReader(DataSourceReader):
         if os.path.exists(meta):
             with open(meta, "rb") as file:
                 version = dict(fields(file.read())).get(7, 0)
+        bloom = os.path.join(span.path, "bloom.bin")
+        if self.low is not None and self.low == self.high and os.path.exists(bloom):
+            with open(bloom, "rb") as file:
+                if self.low not in codecs.Bloom.load(file.read()):
+                    return
         with open(os.path.join(span.path, "index.rio"), "rb") as file:
-            index = file.read()
+            index = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         with open(os.path.join(span.path, "data.rio"), "rb") as file:
             mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-            form, code = open_head(mapped)
-            for _, entry in read_records(index):
-                parts = dict(fields(entry or b""))
-                key, offset, want = parts.get(1, b""), parts.get(2, 0), parts.get(3, 0)
-                if self.low is not None and key < self.low or self.high is not None and key > self.high:
-                    continue
-                value, _ = read_at(mapped, offset, form, code)
-                if version == 0 and value is not None:
-                    value = dict(fields(value)).get(1, b"")  # older tables wrap values in a message
-                if self.check and want and codecs.crc64_iso(value or b"") != want:
+        form, code = open_head(mapped)
+        rows, size = [], 0
+        for _, entry in read_records(index, self._first(index)):
+            parts = dict(fields(entry or b""))
+            key, offset, want = parts.get(1, b""), parts.get(2, 0), parts.get(3, 0)
+            if self.low is not None and key < self.low:
+                continue
+            if self.high is not None and key > self.high:
+                break
+            value, _ = read_at(mapped, offset, form, code)
+            if version == 0 and value is not None:
+                value = dict(fields(value)).get(1, b"")  # older tables wrap values in a message
+            rows.append((key, value, offset, want))
+            size += len(value or b"")
+            if size > 4 << 20 or len(rows) > 50_000:
+                yield self._batch(span, rows)
+                rows, size = [], 0
+        if rows:
+            yield self._batch(span, rows)
+
+    def _first(self, index) -> int:
+        """A position in the index at or before the first key from the lower bound on, by bisection of its bytes."""
+        first, last = HEAD, len(index)
+        if self.low is None or open_head(index)[0] < 4:
+            return first
+        while last - first > 1 << 16:
+            middle = (first + last) // 2
+            found = seek(index, middle)
+            if found is None or found[0] >= last or dict(fields(found[1] or b"")).get(1, b"") >= self.low:
+                last = middle
+            else:
+                first = found[0]
+        return first
+
+    def _batch(self, span, rows):
+        import pyarrow as pa
+
+        keys, values, offsets, wanted = zip(*rows)
+        if self.check:
+            for key, offset, want, got in zip(keys, offsets, wanted, codecs.crc64_iso.column([v or b"" for v in values])):
+                if want and got != want:
                     raise ChecksumError(f"the value of key {key.hex()} at byte {offset} of {span.path} isn't the one written")
-                yield span.seq, key, value, offset, codecs.signed(want)
+        columns = [pa.array([span.seq] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(offsets, pa.int64()), pa.array([codecs.signed(w) for w in wanted], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["gen", "key", "value", "value_offset", "checksum"])
+
+
+class _TableWriter(DataSourceWriter):
+    """Rows (gen, key, value) whose gens come one after the other in each task, keys ascending: a table folder for each
+    gen; a gen that exists or that two tasks write is an error."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.compression = options["path"], options.get("compression", "snappy")
+        if overwrite:
+            raise ValueError("tables are only ever added to a folder")
+
+    def write(self, iterator):
+        from itertools import groupby
+
+        os.makedirs(self.path, exist_ok=True)
+        message = WriterCommitMessage()
+        message.names = []
+        for gen, rows in groupby(iterator, key=lambda r: r["gen"]):
+            name = os.path.join(self.path, f".gen-{uuid.uuid4().hex}")
+            write_table(name, ((bytes(r["key"]), None if r["value"] is None else bytes(r["value"])) for r in rows), self.compression)
+            message.names.append((name, os.path.join(self.path, f"gen_{gen:015d}")))
+        return message
+
+    def commit(self, messages):
+        for name, final in [x for m in messages if m is not None for x in m.names]:
+            os.rename(name, final)  # fails if it exists, as no table folder is empty
+
+    def abort(self, messages):
+        import shutil
+
+        for m in messages:
+            for name, _ in m.names if m is not None else ():
+                shutil.rmtree(name, ignore_errors=True)
 
 
 class TableSource(DataSource):
@@ -381,35 +528,70 @@ class TableSource(DataSource):
     def reader(self, schema):
         return _TableReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _TableWriter(self.options, overwrite)
+
+
+def save_tables(df, path: str, compression: str = "snappy") -> None:
+    """Native tables of a relation (gen, key binary, value binary), one per gen, each written by one task; gens side by
+    side.  A large table is a gen per key range."""
+    rows = df.select("gen", "key", "value").repartition("gen").sortWithinPartitions("gen", "key")
+    rows.write.format("sortedtable").option("compression", compression).mode("append").save(path)
+
+
+def write_table(path: str, rows, compression: str = "snappy", rate: float = 0.01) -> dict:
+    """One native table from (key, value) rows in ascending order; a repeated or descending key is an error.  Beside it
+    stands a Bloom filter of its keys, bloom.bin, sized for them."""
+    from itertools import batched
 
-def write_table(path: str, rows, compression: str = "snappy", expected: int = 1000, rate: float = 0.01) -> dict:
-    """One native table from (key, value) rows in ascending order; a repeated or descending key is an error."""
     os.makedirs(path)
     code, last, counts = codecs.CODES[compression], None, {"num_records": 0, "null_values": 0}
-    bloom = codecs.Bloom(expected, rate)
+    hashes: list = []
     low = None
     with open(os.path.join(path, "data.rio"), "xb") as data, open(os.path.join(path, "index.rio"), "xb") as index:
         data.write(file_head(code))
         index.write(file_head(0))
-        for key, value in rows:
-            if last is not None and key == last:
-                raise ValueError("a key can be written only once")
-            if last is not None and key < last:
-                raise ValueError("keys must ascend")
-            offset = data.tell()
-            data.write(put_record(value, code))
-            index.write(put_record(put_field(1, key) + put_field(2, offset) + put_field(3, codecs.crc64_iso(value or b"")), 0))
-            bloom.add(key)
-            last, low = key, key if low is None else low
-            counts["num_records"] += 1
-            counts["null_values"] += value is None
+        offset = HEAD
+        for part in batched(rows, 1024):
+            for (key, value), check in zip(part, codecs.crc64_iso.column([v or b"" for _, v in part])):
+                if last is not None and key == last:
+                    raise ValueError("a key can be written only once")
+                if last is not None and key < last:
+                    raise ValueError("keys must ascend")
+                record = put_record(value, code)
+                data.write(record)
+                index.write(put_record(put_field(1, key) + put_field(2, offset) + put_field(3, check), 0))
+                offset += len(record)
+                last, low = key, key if low is None else low
+                counts["null_values"] += value is None
+            counts["num_records"] += len(part)
+            hashes.append(codecs.fnv1_64_many([k for k, _ in part]))
         sizes = data.tell(), index.tell()
+    bloom = codecs.Bloom(max(1, counts["num_records"]), rate)
+    for h in hashes:
+        bloom.add_hashes(h)
+    with open(os.path.join(path, "bloom.bin"), "xb") as file:
+        file.write(bloom.dump())
     meta = put_field(1, counts["num_records"]) + put_field(2, low or b"") + put_field(3, last or b"") + put_field(4, sizes[0]) + put_field(5, sizes[1]) + put_field(6, sum(sizes)) + put_field(7, 1) + put_field(9, counts["null_values"])
     with open(os.path.join(path, "meta.pb.bin"), "xb") as file:
         file.write(meta)
     return counts | {"min_key": low, "max_key": last, "data_bytes": sizes[0], "index_bytes": sizes[1], "total_bytes": sum(sizes), "bloom": bloom}
 
 
+def records_size(path: str) -> int:
+    """Bytes of a record file, or of all of a folder's."""
+    return sum(os.path.getsize(p) for p in _files(path, "*.rio"))
+
+
+def clean_log(path: str, before: int) -> list[str]:
+    """Deletes the log's segments of numbers below `before` - once what they hold is written elsewhere - oldest first,
+    and returns their paths."""
+    gone = [p for p in _files(path, "*.wal") if int(os.path.basename(p)[:-4]) < before]
+    for p in gone:
+        os.remove(p)
+    return gone
+
+
 class LogAppender:
     """A log of numbered segments.  A record that would take a segment beyond max_bytes starts the next one."""
 
@@ -417,7 +599,9 @@ class LogAppender:
 
     def __init__(self, path: str, max_bytes: int, compression: str = "none"):
         os.makedirs(path, exist_ok=True)
-        self.path, self.max, self.code, self.number, self.file = path, max_bytes, codecs.CODES[compression], -1, None
+        # an existing log is continued in a segment of its own
+        number = max((int(os.path.basename(p)[:-4]) for p in _files(path, "*.wal")), default=-1)
+        self.path, self.max, self.code, self.number, self.file = path, max_bytes, codecs.CODES[compression], number, None
         self.rotate()
 
     def rotate(self) -> str | None:
@@ -463,6 +647,19 @@ def parse_mutation(record: bytes) -> tuple[str, bytes, bytes | None]:
     raise ValueError("a log record is neither a put nor a delete")
 
 
+def encode_mutations(rows):
+    """Rows (segment, key, value: null deletes), in order, as rows (segment, record) for the log source."""
+
+    def encode(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            values = zip(pdf["key"], pdf["value"])
+            yield pd.DataFrame({"segment": pdf["segment"], "record": [mutation("DEL", bytes(k)) if v is None else mutation("PUT", bytes(k), bytes(v)) for k, v in values]})
+
+    return rows.select("segment", "key", "value").mapInPandas(encode, "segment int, record binary")
+
+
 def decode_mutations(log):
     """Rows of the log source as MUTATION rows: seq orders by segment, then record."""
 
@@ -476,6 +673,26 @@ def decode_mutations(log):
     return log.mapInPandas(decode, "seq long, op string, key binary, value binary")
 
 
+def encode_messages(rows, message, json: str = "json"):
+    """A column of JSON as rows (record) for the records source: each a protobuf message of that class; null stays nil."""
+
+    def encode(batches):
+        import pandas as pd
+        from google.protobuf.json_format import Parse
+
+        for pdf in batches:
+            yield pd.DataFrame({"record": [None if x is None else Parse(x, message()).SerializeToString(deterministic=True) for x in pdf[json]]})
+
+    return rows.select(json).mapInPandas(encode, "record binary")
+
+
+def typed_messages(records, message, schema: str):
+    """Rows of the records source as file, offset and the message's fields by a schema, e.g. `id long, name string`."""
+    from pyspark.sql import functions as F
+
+    return decode_messages(records, message).select("file", "offset", F.from_json("json", schema).alias("m")).select("file", "offset", "m.*")
+
+
 def decode_messages(records, message):
     """Rows of the records source with the payload parsed by a protobuf message class, as JSON."""
 
@@ -491,3 +708,4 @@ def decode_messages(records, message):
 def register(spark: SparkSession) -> None:
     for source in (RecordSource, LogSource, TableSource):
         spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # offsets and key ranges
