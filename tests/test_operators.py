@@ -135,6 +135,10 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError):
         s.put(b"", b"1")
     before = content(s)
+    assert content(s) == {b"c": b"3", b"d": b"4"}
+    assert s.flush_memory() and not s.flush_memory()
+    s.put(b"e", b"5")
+    s.delete(b"e")
     assert s.compact() == [0, 1, 2, 3] and content(s) == before == {b"c": b"3", b"d": b"4"}
     assert [r.gen for r in s.meta().collect()] == [0] and s.meta().first().null_values == 0
     s.close()
@@ -193,3 +197,58 @@ def test_sequenced_rows_with_payload(spark, adaptive):
         assert versions.sequenced(ties.where("a > 5"), "a", "b").collect() == []
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_store_after_a_crash(spark, tmp_path):
+    path = str(tmp_path / "s")
+    code = f"""
+import os
+from tidemark.plans.store import Store
+from tidemark.sources import records
+s = Store(None, {path!r}).open()
+for i in range(50):
+    s.put(b"k%02d" % (i % 20), b"v%d" % i)
+s.delete(b"k03")
+s.log.file.write(records.put_record(records.mutation("PUT", b"k03", b"torn"), 0)[:-2])
+s.log.file.flush()
+os._exit(1)
+"""
+    import subprocess
+    import sys
+
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 1
+    s = Store(spark, path).open()  # the owner is dead
+    want = {b"k%02d" % (i % 20): b"v%d" % i for i in range(50) if i % 20 != 3}
+    rows = lambda df: {bytes(r.key): bytes(r.value) for r in df.collect()}
+    assert rows(s.scan()) == want
+    assert rows(s.scan_range(b"k05", b"k06")) == {k: want[k] for k in (b"k05", b"k06")}
+    s.put(b"k03", b"again")
+    s.close()
+    s = Store(spark, path).open()
+    assert rows(s.scan()) == want | {b"k03": b"again"} and len(s.manifest["tables"]) == 1
+    # a writer that lost its lease can't publish
+    with pytest.raises(StoreError):
+        Store(spark, path).open()
+    late = Store(spark, path, lease=-1).open()
+    s.put(b"z", b"1")
+    with pytest.raises(StoreError, match="took the lease over"):
+        s.flush_memory()
+    late.close()
+
+
+def test_readers_keep_their_snapshot(spark, tmp_path):
+    path = str(tmp_path / "s")
+    s = Store(spark, path, threshold=1, memstore_bytes=25).open()
+    for i in range(10):
+        s.put(b"key%d" % i, b"value")  # some fill the memory and become a generation
+    assert len(s.manifest["tables"]) > 1
+    s.flush_memory()
+    before = s.scan()
+    assert s.compact() and before.count() == 10 == s.scan().count()
+    assert s.vacuum() == []
+    s.retention = -1
+    assert len(s.vacuum()) > 2 and s.scan().count() == 10
+    for batch in (0, 2, 1):
+        assert s.flush(spark.createDataFrame([(0, "PUT", bytearray(b"b%d" % batch), bytearray(b"v"))], "seq long, op string, key binary, value binary"), batch)
+    assert not s.flush(before.limit(0), 0) and s.manifest["upto"] == 2 and s.manifest["batches"] == []
+    s.close()
