@@ -228,7 +228,7 @@ class _RecordReader(DataSourceReader):
                 try:
                     version, code = open_head(data)
                     if HEAD <= self.exact < len(data):
-                        yield span.path, self.exact, read_at(data, self.exact, version, code)[0]
+                        yield span.path, self.exact, read_at(data, self.exact, version, code)[0]  # rows or batches, never both
                 except (RecordError, EOFError):
                     return
                 return
@@ -237,8 +237,13 @@ class _RecordReader(DataSourceReader):
                 if found is None:
                     return
                 at = found[0]
-            for offset, record in read_records(data, at, span.end, self.skip, self.torn):
-                yield span.path, offset, record
+            import pyarrow as pa
+            from itertools import batched
+
+            for part in batched(read_records(data, at, span.end, self.skip, self.torn), 8192):
+                offsets, values = zip(*part)
+                columns = [pa.array([span.path] * len(part)), pa.array(offsets, pa.int64()), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "record"])
 
 
 class _RecordWriter(DataSourceWriter):
