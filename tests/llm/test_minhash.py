@@ -28,8 +28,10 @@ def corpus():
     return list(enumerate(rows)) + [(None, rows[0]), (None, None), (3, rows[3]), (7, "another text of a repeated id")]
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, minhash.BLOCK), (5, 80, minhash.BLOCK), (3, 85, 2)])
+def test_brute_force(spark, monkeypatch, k, percent, block):
+    """Also with bands that fall into several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = corpus()
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, node string, n int")
     got = sorted((tuple(r) for r in minhash.near_duplicates(df, k, percent).collect()), key=str)

@@ -247,7 +247,10 @@ def test_chat(spark):
 # --- op5
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+def test_decontaminate(spark, monkeypatch, broadcast):
+    """Also by shuffling what is too much to be broadcast."""
+    monkeypatch.setattr(decontaminate, "BROADCAST", broadcast)
     rng = random.Random(6)
     vocab = ["a", "the", "of", "naïve", "x1", "zebra", "so"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 2, 4, 9, 10, 14, 30])))) for i in range(25)] + [(30, None), (31, "..."), (None, "alpha beta gamma"), (32, "A, THE. of!"), (32, "A, THE. of!")]
@@ -283,13 +286,6 @@ def test_decontaminate(spark):
     assert not any(r.contaminated for r in decontaminate.decontaminate(df, it.limit(0)).collect())
 
 
-def test_decontaminate_by_shuffling(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
-    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y"), (2, "one two three")], "doc_id long, text string")
-    items = spark.createDataFrame([(5, "one two three four five six seven eight nine ten")], "item_id long, text string")
-    assert sorted((r.doc_id, r.n_hit) for r in decontaminate.decontaminate(docs, items).collect()) == [(1, 10), (2, 0)]
-
-
 # --- op6
 
 
@@ -392,6 +388,11 @@ def test_languages(spark):
     again = langid.train(df.repartition(3).where(~langid.held_out()))
     assert np.array_equal(model.table, again.table)
     assert langid.predict(df.limit(0), model).collect() == []
+    # extra columns named like results give way, and a very long text is one text
+    clash = df.limit(20).withColumns({"lang_pred": F.lit(1), "text of the row": F.lit(2)})
+    assert [tuple(r) for r in langid.predict(clash, model, "score", "lang_pred", "text of the row").select("doc_id", "lang_pred").collect()] == [(r.doc_id, r.lang_pred) for r in langid.predict(df.limit(20), model).collect()]
+    long = spark.createDataFrame([(1, " ".join(r[1] for r in rows if r[2] == "bb") * 20)], "doc_id long, text string")
+    assert langid.predict(long, model).first().lang_pred == "bb"
     empty = langid.train(df.limit(0))
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
 

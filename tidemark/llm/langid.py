@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import arrow_map
+from .common import arrow_map, unused
 
 BUCKETS, WIDTH = 1 << 13, 16
 #: rows of each language that training sees at most
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, *extra: str | Column) -> DataFrame:
 
     wanted = docs.select(*extra).columns if extra else []
     kept = [c for c, n in zip(extra, wanted) if n.lower() not in ("doc_id", "lang_pred", "score", "rejected")]
-    docs = docs.select("text", "doc_id", *kept).toDF("text of the row", "doc_id", *docs.select(*kept).columns)
+    docs = docs.select("text", "doc_id", *kept).toDF(*unused(docs.select(*kept), "text_"), "doc_id", *docs.select(*kept).columns)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes[1:]) + ", lang_pred string, score double, rejected boolean"
     return arrow_map(docs, schema, f)
 

@@ -149,7 +149,7 @@ def _blocks(need: list[int], percent: int):
             i, j = i[ok], j[ok]
             alive = survive(sig[i], sig[j], need)
             found.append(np.sort(np.stack([node[i[alive]], node[j[alive]]]), 0))
-        return np.unique(np.concatenate(found, 1), axis=1)
+        return np.unique(np.concatenate(found, 1), axis=1) if found else np.empty((2, 0), np.int64)
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
