@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -58,3 +59,53 @@ def test_brute_force(spark, monkeypatch, limits):
 
 def test_empty(spark):
     assert linededup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("limits", [{"DENSE": 2, "BLOCK": 3, "PAIRS": 12}, {"HOT": 2, "DENSE": 2, "SPLIT": 4, "LEVELS": 1}, {"HOT": 2, "DENSE": 2, "SPLIT": 4, "LONG": 8}])
+def test_long_lists(spark, monkeypatch, limits):
+    """Lists compared in blocks, by pieces of their maps, and spread by sizes."""
+    test_brute_force(spark, monkeypatch, limits)
+
+
+def test_long_lists_are_not_multiplied(spark, monkeypatch):
+    """Every line of long lists goes to the lists of its prefix words, and no row of a pass holds words."""
+    monkeypatch.setattr(linededup, "HOT", 8)
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(vocab, 40))) for i in range(300)], "doc_id long, text string")
+    kept = []
+    keep = common.Workspace.keep
+
+    def seen(self, table):
+        out = keep(self, table)
+        kept.append((table.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(common.Workspace, "keep", seen)
+    got = linededup.line_dedup(df)
+    assert got.where("n_removed > 0").count() == 0
+    # 9 words of a line of 40 are its prefix
+    assert max(n for _, n in kept) <= 300 * 9
+    assert not [c for c, n in kept if "words" in c and n > 300]
+
+
+@pytest.mark.parametrize("sizes", [(4, 12), (20, 90), (5, 300)])
+def test_lists_of_pieces(monkeypatch, sizes):
+    """All pairs within the bounds that the maps leave, with and without pieces, some lines done."""
+    monkeypatch.setattr(linededup, "SPLIT", 10)
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 2**63, rng.integers(*sizes), dtype=np.uint64)) for _ in range(40)]
+    for s in list(sets) * 5:
+        drop = rng.random(len(s)) < 0.08
+        sets.append(np.unique(np.concatenate([s[~drop], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(s) // 9)), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s) > 3]
+    n = np.array([len(s) for s in sets])
+    node, one, two = linededup._names(np.concatenate(sets), n)
+    done, side = rng.random(len(n)) < 0.3, np.zeros(len(n), np.int64)
+    want = {(i, j) for i in range(len(n)) for j in range(i) if not (done[i] and done[j]) and node[i] != node[j] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])}
+    assert len(want) > 50
+    for levels in (0, 3, 99):
+        monkeypatch.setattr(linededup, "LEVELS", levels)
+        got = {(max(i, j), min(i, j)) for a, b in linededup._one_list(n << 8, done, side, node, one, two) for i, j in zip(a.tolist(), b.tolist())}
+        assert want <= got
+        assert all(not (done[i] and done[j]) for i, j in got)

@@ -15,9 +15,12 @@ later line's earliest candidate first, and the others only for lines that this l
 
 Lists of more than HOT postings leave that pass by name alone.  As a line needs one earlier match only, their
 lines first meet the earliest line of each list; lines so matched look no further, although others may still
-match them.  Lists on which too much is left are split by the word that follows in order: linked sets that
-share a word share one more among the next, as the prefix is lengthened by one word each time.  What is
-still too long after LEVELS words is joined in blocks.  A group of near copies is thus linear in its size.
+match them.  A group of near copies is thus linear in its size.  Then a second shuffle, again of four numbers a
+posting, brings the lists together whole, whatever their length: nothing is multiplied by words that follow or
+by blocks, but lists of more than LONG postings are spread by sizes, each posting going to two bands of sizes.
+A worker compares the maps of a list block against block; where a list has more than SPLIT postings of a band,
+it looks only at those that agree on one of the pieces of their maps, since of d + 1 pieces one agrees if d
+bits differ at most.
 """
 
 from __future__ import annotations
@@ -33,10 +36,16 @@ from . import kernels
 from .common import BROADCAST_ROWS, Workspace, arrow_map, light, unused
 
 BUCKETS, SEGMENTS = 1 << 19, 64
-#: a list is joined at once up to HOT postings, and later up to HOT ** 2 pairs; words of a key at most; postings a block
-HOT, LEVELS, BLOCK = 512, 3, 1024
+#: a list of up to HOT postings is joined at once, one of more than LONG by bands of sizes
+HOT, LONG = 512, 1 << 17
+#: a list of more than DENSE postings is compared in blocks of BLOCK; of more than SPLIT of a band by pieces of
+#: their maps, if these halve the pairs LEVELS times at least
+DENSE, BLOCK, SPLIT, LEVELS = 48, 32, 4096, 3
 #: postings of one pass in numpy, and pairs looked at together
 CHUNK, PAIRS = 300_000, 500_000
+#: the order of lines as one number, whose minimum a hash aggregate can keep; the upper 30 bits of the hash tell lines of
+#: one number in two texts of one doc_id apart
+_ORDER_SQL = "cast(doc_id as decimal(19,0)) * cast(2305843009213693952 as decimal(19,0)) + cast(cast(line as bigint) * 1073741824 + (shiftright(hash, 34) + 536870912) as decimal(19,0))"
 #: removed lines that may be broadcast with their documents' ids
 BROADCAST_LINES = 4_000_000
 
@@ -127,7 +136,7 @@ def _index(rarity_data: bytes):
             names, one, two = _names(hashes, sizes)
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             # sets of up to three words are linked with equal ones only
-            per = np.where(sizes > 3, np.minimum(sizes, sizes - (4 * sizes + 4) // 5 + LEVELS), 0)
+            per = np.where(sizes > 3, sizes - (4 * sizes + 4) // 5 + 1, 0)
             wanted = place < np.repeat(per, sizes)
             some = sizes > 0
             ends = np.zeros(int(some.sum()) + 1, np.int32)
@@ -149,8 +158,8 @@ def _index(rarity_data: bytes):
 def _near(key, size, done, side, node, one, two):
     """Pairs (indices) of rows with one key, sorted by key, whose sets may reach 0.8; of two one isn't done.
 
-    size: the number of words << 8 | the place of the last common word, less those that are known to be shared
-    (at most 255: a smaller place only bounds less).  side: 0, or 1 and 2, which then meet across only.
+    size: the number of words << 8 | the place of the common word (at most 255: a smaller place only bounds less).
+    side: 0, or 2 for those that only meet others.
     """
     group = np.zeros(len(key), np.int64)
     np.cumsum(key[1:] != key[:-1], out=group[1:])
@@ -187,29 +196,122 @@ def _near(key, size, done, side, node, one, two):
             first = last
 
 
+def _dense(size, done, side, node, one, two):
+    """Like _near, of the postings of one list: maps block against block, the other bounds on what these leave."""
+    order = np.argsort(size >> 8, kind="stable")
+    size, done, side, node, one, two = size[order], done[order], side[order], node[order], one[order].view(np.uint64), two[order].view(np.uint64)
+    n, place = size >> 8, size & 255
+    rest, free = n - place, np.flatnonzero(~done)
+    # of two that are free the smaller looks for the larger; whoever is done is looked for
+    for mine, other in ((free[9 * place[free] <= n[free]], free), (free, np.flatnonzero(done))):
+        low_n = n[other]
+        for at in range(0, len(mine), BLOCK):
+            i = mine[at : at + BLOCK]
+            least = n[i[0]] if other is free else -(-n[i[0]] * 4 // 5)
+            j = other[np.searchsorted(low_n, least) : np.searchsorted(low_n, n[i[-1]] * 5 // 4, "right")]
+            for first in range(0, len(j), PAIRS // BLOCK):
+                k = j[first : first + PAIRS // BLOCK]
+                apart = np.bitwise_count(one[i, None] ^ one[k])
+                apart += np.bitwise_count(two[i, None] ^ two[k])
+                x, y = np.nonzero(apart <= min(255, (n[i[-1]] + n[k[-1]]) // 9))
+                apart, x, y = apart[x, y].astype(np.int64), i[x], k[y]
+                total = n[x] + n[y]
+                good = (9 * apart <= total) & (9 * np.minimum(rest[x], rest[y]) >= 4 * total) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])
+                good &= (node[x] != node[y]) & ((side[x] != side[y]) | (side[x] == 0))
+                yield order[x[good]], order[y[good]]
+
+
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    a, b = np.concatenate(pairs, 1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[fresh], b[fresh]])
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    """Two sizes of 0.8 <= n / m <= 1 / 0.8 fall into one band or neighbours, as a band ends at 1.26 times its start."""
+    return (np.log(n) / np.log(1.26)).astype(np.int64)
+
+
+def _pieces(one, two, parts: int):
+    """The bits of each of `parts` pieces of 128-bit maps."""
+    ends = [128 * i // parts for i in range(parts + 1)]
+    for a, b in zip(ends[:-1], ends[1:]):
+        out = np.zeros(len(one), np.uint64)
+        for half, start in ((one, 0), (two, 64)):
+            low, high = max(a, start), min(b, start + 64)
+            if low < high:
+                ours = half.view(np.uint64) >> np.uint64(low - start)
+                if high - low < 64:
+                    ours = ours & np.uint64((1 << (high - low)) - 1)
+                out = out * np.uint64(0xD6E8FEB86659FD93) + ours
+        yield out
+
+
+def _one_list(size, done, side, node, one, two):
+    """_dense, or for each band of sizes with too much in it _near of those that agree on a piece of their maps."""
+    if len(size) <= SPLIT:
+        yield from _dense(size, done, side, node, one, two)
+        return
+    n = size >> 8
+    band = _band(n)
+    for b in np.unique(band).tolist():
+        at = np.flatnonzero((band == b) | (band == b + 1))
+        # those of the next band meet each other in its turn
+        upper = np.where(band[at] == b, side[at], 2)
+        if not ((upper == 0).any() and (~done[at]).any()):
+            continue
+        most = int(n[at][band[at] == b].max())
+        parts = (most + min(most * 5 // 4, int(n[at].max()))) // 9 + 1
+        if len(at) <= SPLIT or parts << LEVELS > 2 ** (128 // parts):
+            for i, j in _dense(size[at], done[at], upper, node[at], one[at], two[at]):
+                yield at[i], at[j]
+            continue
+        for piece in _pieces(one[at], two[at], parts):
+            order = np.argsort(piece)
+            piece, now = piece[order], at[order]
+            for i, j in _near(piece, size[now], done[now], upper[order], node[now], one[now], two[now]):
+                yield now[i], now[j]
+
+
 def _lists(hot: int | None):
     """Postings sorted by key -> pairs (a, b) of nodes; a list of more than `hot` postings gives (key, null) instead.
 
-    Rows are (k, node, one, two), k being key << 32 | size, or (key, size, mark, node, one, two), mark being
-    side << 1 | done.
+    Rows are (k, node, one, two), k being key << 32 | done << 31 | size, or (key, size, mark, node, one, two), mark
+    being side << 1 | done.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
         got = [np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(batches[0].num_columns)]
         if len(got) == 4:
-            none = np.zeros(len(got[0]), np.int64)
-            got = [got[0] >> 32, got[0] & 0xFFFFFFFF, none, *got[1:]]
+            got = [got[0] >> 32, got[0] & 0x7FFFFFFF, got[0] >> 31 & 1, *got[1:]]
         return got
 
     def out(a, b=None):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], schema=schema)
 
     def near(key, size, mark, node, one, two):
-        found = [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]) for i, j in _near(key, size, mark & 1 > 0, mark >> 1, node, one, two)]
+        found, held = [], 0
+
+        def add(pairs, node) -> int:
+            new = [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]) for i, j in pairs if len(i)]
+            found.extend(new)
+            return sum(x.shape[1] for x in new)
+
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])[: None if len(key) else 1]
+        dense = np.diff(starts) > DENSE
+        few = ~np.repeat(dense, np.diff(starts))
+        held += add(_near(*(x[few] for x in (key, size, mark & 1 > 0, mark >> 1, node, one, two))), node[few])
+        for a, b in zip(starts[:-1][dense].tolist(), starts[1:][dense].tolist()):
+            held += add(_one_list(*(x[a:b] for x in (size, mark & 1 > 0, mark >> 1, node, one, two))), node[a:b])
+            if held > PAIRS:
+                yield out(*_distinct(found))
+                found, held = [], 0
         if found:
-            a, b = np.unique(np.concatenate(found, 1), axis=1)
-            yield out(a, b)
+            yield out(*_distinct(found))
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -317,36 +419,36 @@ class _Join:
 
     def rest(self, hot: DataFrame) -> None:
         """The links of the lists of these keys."""
-        ws = self.ws
-        rows = self.heads.select("node", "doc_id", "line", "hash", "n", "one", "two", "words", F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word"))
-        rows = ws.keep(rows.withColumn("key", F.col("word").cast("long")).drop("word").join(light(hot), "key", "left_semi"))
-        leads = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "one", "two", "at"), F.struct("doc_id", "line", "hash")).alias("l")).select("key", "l.*")
-        led = rows.alias("p").join(light(ws.keep(leads)).alias("l"), "key").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
+        ws, hot = self.ws, light(hot)
+        explode = F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word")
+
+        def postings(heads: DataFrame, *more: str) -> DataFrame:
+            rows = heads.select("node", "n", "one", "two", *more, explode)
+            return rows.withColumn("key", F.col("word").cast("long")).drop("word").join(hot, "key", "left_semi")
+
+        rows = postings(self.heads, "doc_id", "line", "hash").withColumn("order", F.expr(_ORDER_SQL)).drop("doc_id", "line", "hash")
+        lists = ws.keep(rows.groupBy("key").agg(F.min("order").alias("first"), F.count("*").alias("members")))
+        n = lists.count()
+        leads = ws.keep(rows.join(light(lists.select("key", "first"), n), "key").where("order = first").drop("order", "first"))
+        led = postings(self.heads).alias("p").join(light(leads, n).alias("l"), "key").where((F.col("p.node") != F.col("l.node")) & _bounds("l", "p"))
         self.verify(led.select(F.least("l.node", "p.node").alias("a"), F.greatest("l.node", "p.node").alias("b")).distinct())
-        done = light(self.gone.withColumn("known", F.lit(1)))
-        state = rows.join(done, "node", "left").select("key", "node", "n", "one", "two", "words", "at", F.coalesce("known", F.lit(0)).alias("done"))
-        ready = []
-        for level in range(1, LEVELS + 1):
-            # a list without a line that still looks for a match is of no use
-            lists = state.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("done") == 0).alias("free")).where("free > 0 and members > 1")
-            lists = ws.keep(lists.select("key", "members", (F.col("members") * F.col("free") <= HOT * HOT).alias("short")))
-            state = ws.keep(state.join(light(lists), "key"))
-            posting = ["key", f"{_size(f'greatest(at - {level - 1}, 0)')} as size", "node", "one", "two", "done as mark"]
-            ready.append(state.where("short").selectExpr(*posting))
-            if level < LEVELS:
-                # the words that follow, of the prefix longer by one for each word of the key
-                more = f"sequence(at + 1, cast(least(size(words), {self.prefix} + {level}) as int) - 1)"
-                longer = state.where(f"not short and at + 1 < least(size(words), {self.prefix} + {level})").select("key", "node", "n", "one", "two", "words", "done", F.explode(F.expr(more)).alias("at"))
-                state = longer.withColumn("key", F.xxhash64("key", F.expr("words[at]")))
-        # the longest lists in blocks: each pair of blocks has a key of its own
-        blocks = state.where("not short").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        blocks = blocks.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        blocks = blocks.withColumns({"key": F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), "mark": F.col("done") + 2 * side})
-        ready.append(blocks.selectExpr("key", f"{_size(f'greatest(at - {LEVELS - 1}, 0)')} as size", "node", "one", "two", "mark"))
-        whole = reduce(DataFrame.unionByName, ready).selectExpr("key", "size", "cast(mark as bigint) as mark", "node", "one", "two")
-        found = whole.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(None), "a long, b long")
-        self.verify(found.distinct())
+        known = light(self.gone.withColumn("known", F.lit(1)))
+        rows = postings(self.heads.join(known, "node", "left").withColumn("done", F.coalesce("known", F.lit(0)).cast("long")), "done")
+        rows = rows.selectExpr("key", f"{_size('at')} as size", "n", "done", "node", "one", "two")
+        long = ws.keep(lists.where(F.col("members") > LONG).select("key"))
+        few = rows
+        if not long.isEmpty():
+            few = rows.join(light(long), "key", "left_anti")
+            self._long(rows.join(light(long), "key", "left_semi"))
+        few = few.selectExpr("shiftleft(key, 32) | shiftleft(done, 31) | size as k", "node", "one", "two")
+        few = few.repartition(F.shiftright("k", 32)).sortWithinPartitions("k")
+        self.verify(few.mapInArrow(_lists(None), "a long, b long").distinct())
+
+    def _long(self, rows: DataFrame) -> None:
+        """The links of lists that are spread by sizes: each posting meets those of its band, and of the one below."""
+        rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.26)))).select("*", F.explode(F.array(F.lit(0), F.lit(2))).alias("side"))
+        rows = rows.select(F.xxhash64("key", F.col("band") - F.when(F.col("side") > 0, 1).otherwise(0)).alias("key"), "size", (F.col("done") + 2 * F.col("side")).alias("mark"), "node", "one", "two")
+        self.verify(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(None), "a long, b long").distinct())
 
 
 def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
@@ -355,9 +457,8 @@ def removed_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     rarity = np.minimum(np.log2(counts + 1) * 64, 4095).astype(np.uint16).tobytes()
     schema = "doc_id long, hash long, line int, node long, n int, one long, two long, words array<int>"
     lines = ws.keep(arrow_map(docs, schema, _index(rarity)))
-    # where sets that more than one line has begin: the order as one number, whose minimum a hash aggregate can keep;
-    # the upper 30 bits of the hash tell lines of one number in two texts of one doc_id apart
-    order = F.expr("cast(doc_id as decimal(19,0)) * cast(2305843009213693952 as decimal(19,0)) + cast(cast(line as bigint) * 1073741824 + (shiftright(hash, 34) + 536870912) as decimal(19,0))")
+    # where sets that more than one line has begin
+    order = F.expr(_ORDER_SQL)
     firsts = ws.keep(lines.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("node", "first"))
     n = firsts.count()
     ranked = lines.join(light(firsts, n), "node", "left").withColumn("head", F.coalesce(F.col("first") == order, F.lit(True))).drop("first")
