@@ -65,10 +65,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with size, source_size, target, taken (words, repeats counted) and
-    n_draws (blocks).  Documents without words and those that no draw falls on are left out."""
+    """The documents that the mix takes words of, with size, source_size, target, taken (words, repeats counted),
+    n_draws (blocks) and draws: the shard that the splitting tree gives each drawn block to, its position in the
+    shuffled shard, block and pass.  Documents without words and those that no draw falls on are left out."""
     mix = mixing.Mix(docs, extra=[c for c in docs.columns if c not in ("doc_id", "source")])
-    return mix.taken().where("taken > 0").drop("rid")
+    return mix.mixed().drop("rid")
 
 
 STAGES = [

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
+from tidemark.llm import mixing
 
 
 def test_stages(spark, tmp_path):
@@ -70,3 +71,23 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_mix_goes_through_the_tree(spark):
+    """Shards hold the tree's quotas by source, their places are all taken once, and draws make up what is taken."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + i * 37 % 900)), ["a", "b", None][i % 3]) for i in range(90)] + [(None, "a b", "b"), (7, None, "a"), (8, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.source_mixing(spark, docs, None).collect()
+    mix = mixing.Mix(docs)
+    quotas = mixing.split(mix.quotas, mixing.LEAST_SHARDS, mix.seed)
+    draws = [(d.shard, d.position, r.source, min(256, r.size - 256 * d.block)) for r in got for d in r.draws]
+    for shard in range(mixing.LEAST_SHARDS):
+        here = [d for d in draws if d[0] == shard]
+        assert [sum(d[2] == s for d in here) for s in mix.sources] == quotas[shard].tolist()
+        assert sorted(d[1] for d in here) == list(range(len(here)))
+    assert len(draws) == sum(mix.quotas)
+    for r in got:
+        assert r.text and r.n_draws == len(r.draws) > 0
+        assert r.taken == sum(min(256, r.size - 256 * d.block) for d in r.draws)
+        assert len({(d.block, d["pass"]) for d in r.draws}) == len(r.draws)
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in mix.taken().where("taken > 0").collect())

@@ -99,7 +99,7 @@ class Mix:
 
     rows: rid, doc_id, source, size, and the further columns asked for, one row per row of docs; plan: one row
     per source; taken(): what the mix takes of each row; draws(): one row per drawn copy of a block with its
-    shard and place.  Everything follows from doc_id, source and size, so reruns agree.  Null and blank texts
+    shard and place; mixed(): the rows that are drawn, with their draws.  Everything follows from doc_id, source and size, so reruns agree.  Null and blank texts
     have size 0: they have no block and nothing is taken of them.  A null source is a source of its own,
     after all others.  A null doc_id is one more id; rows that repeat a doc_id are rows of their own, told
     apart where their sizes or sources differ.  Further columns named like one of a result give way to it.
@@ -109,7 +109,7 @@ class Mix:
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, extra: list[str] | None = None):
         self.spark, self.seed = docs.sparkSession, seed
         self.ws = ws = Workspace(self.spark, "mix")
-        own = [c for c in extra or [] if c.lower() not in {"rid", "doc_id", "source", "size", "source_size", "target", "taken", "n_draws", "first_shard"}]
+        own = [c for c in extra or [] if c.lower() not in {"rid", "doc_id", "source", "size", "source_size", "target", "taken", "n_draws", "first_shard", "draws"}]
         self.rows = ws.keep(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), *own))
         self.n_blocks = F.ceil(F.col("size") / BLOCK)
         # one row per source: sources are categories, however many documents they hold
@@ -188,6 +188,14 @@ class Mix:
         out = self.rows.join(took, "rid", "left").join(self.plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source", "passes", "c_range", "cut")
         return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("taken", "n_draws")})
 
+    def mixed(self, shards: int | None = None) -> DataFrame:
+        """rows that a draw falls on, with source_size, target, taken (words of all draws), n_draws and draws: shard,
+        position, block and pass of each.  Only here, after all draws are placed, do further columns take part."""
+        where = F.array_sort(F.collect_list(F.struct("shard", "position", "block", "pass"))).alias("draws")
+        took = self.draws(shards).groupBy("rid").agg(F.sum("words").alias("taken"), F.count("*").alias("n_draws"), where)
+        out = self.rows.join(light(took, sum(self.quotas)), "rid")
+        return out.join(self.plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source", "passes", "c_range", "cut")
+
     def draws(self, shards: int | None = None) -> DataFrame:
         """One row per drawn block: rid, source, block, words, pass, shard, position in the shard (from 0)."""
         shards = shards or max(LEAST_SHARDS, -(-int(sum(self.targets)) // SHARD_WORDS))
