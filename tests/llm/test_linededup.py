@@ -109,3 +109,31 @@ def test_lists_of_pieces(monkeypatch, sizes):
         got = {(max(i, j), min(i, j)) for a, b in linededup._one_list(n << 8, done, side, node, one, two) for i, j in zip(a.tolist(), b.tolist())}
         assert want <= got
         assert all(not (done[i] and done[j]) for i, j in got)
+
+
+@pytest.mark.parametrize("limits", [{"HOT": 2, "CROWD": 0, "DENSE": 2}, {"HOT": 2, "CROWD": 1, "DENSE": 2, "LONG": 8}])
+def test_crowded_lists(spark, monkeypatch, limits):
+    test_brute_force(spark, monkeypatch, limits)
+
+
+def test_long_lists_of_unlike_lines_stay_in_the_first_pass(spark, monkeypatch):
+    """Only lists of near copies are joined again, so that the postings of common words aren't shuffled once more."""
+    monkeypatch.setattr(linededup, "HOT", 8)
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    unlike = [(i, " ".join(rng.sample(vocab, 40))) for i in range(300)]
+    base = [f"b{i}" for i in range(40)]
+    copies = [(1000 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(40)]
+    hot, rest = [], linededup._Join.rest
+
+    def seen(self, keys):
+        hot.append(keys.count())
+        rest(self, keys)
+
+    monkeypatch.setattr(linededup._Join, "rest", seen)
+    got = linededup.line_dedup(spark.createDataFrame(unlike, "doc_id long, text string"))
+    assert got.where("n_removed > 0").count() == 0
+    assert hot == []
+    got = linededup.line_dedup(spark.createDataFrame(unlike + copies, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.where("n_removed > 0").collect()) == list(range(1001, 1040))
+    assert len(hot) == 1 and 0 < hot[0] <= 80

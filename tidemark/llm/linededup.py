@@ -13,14 +13,15 @@ One shuffle brings the postings of a word together, sorted by size; a posting is
 distance is at most that of the sets) bound the overlap; what remains is verified on the full sets, each
 later line's earliest candidate first, and the others only for lines that this leaves.
 
-Lists of more than HOT postings leave that pass by name alone.  As a line needs one earlier match only, their
-lines first meet the earliest line of each list; lines so matched look no further, although others may still
-match them.  A group of near copies is thus linear in its size.  Then a second shuffle, again of four numbers a
-posting, brings the lists together whole, whatever their length: nothing is multiplied by words that follow or
-by blocks, but lists of more than LONG postings are spread by sizes, each posting going to two bands of sizes.
-A worker compares the maps of a list block against block; where a list has more than SPLIT postings of a band,
-it looks only at those that agree on one of the pieces of their maps, since of d + 1 pieces one agrees if d
-bits differ at most.
+That pass compares lists whole, the maps of a long one block against block; where a list has more than SPLIT
+postings of a band of sizes, it looks only at those that agree on one of the pieces of their maps, since of d + 1
+pieces one agrees if d bits differ at most.  Only the names of two kinds of lists leave it: those of more than LONG
+postings, and of those of more than HOT the crowded ones, in which more than CROWD pairs a posting remain, as in
+groups of near copies.  As a line needs one earlier match only, their lines first meet the earliest line of each
+list; lines so matched look no further, although others may still match them.  A group of near copies is thus
+linear in its size.  Then a second shuffle, again of four numbers a posting, brings these lists together whole:
+nothing is multiplied by words that follow or by blocks, but lists of more than LONG postings are spread by sizes,
+each posting going to two bands of sizes.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ from . import kernels
 from .common import BROADCAST_ROWS, Workspace, arrow_map, light, unused
 
 BUCKETS, SEGMENTS = 1 << 19, 64
-#: a list of up to HOT postings is joined at once, one of more than LONG by bands of sizes
-HOT, LONG = 512, 1 << 17
+#: a list of up to HOT postings is joined at once, one of up to LONG unless it is crowded, and one of more than LONG by
+#: bands of sizes; pairs a posting of a list that isn't crowded
+HOT, LONG, CROWD = 512, 1 << 17, 4
 #: a list of more than DENSE postings is compared in blocks of BLOCK; of more than SPLIT of a band by pieces of
 #: their maps, if these halve the pairs LEVELS times at least
 DENSE, BLOCK, SPLIT, LEVELS = 48, 32, 4096, 3
@@ -276,8 +278,25 @@ def _one_list(size, done, side, node, one, two):
                 yield now[i], now[j]
 
 
-def _lists(hot: int | None):
-    """Postings sorted by key -> pairs (a, b) of nodes; a list of more than `hot` postings gives (key, null) instead.
+def _few(pairs, node: np.ndarray, most: int) -> np.ndarray | None:
+    """The distinct pairs of nodes; none if there are more than `most`."""
+    found, held = [], 0
+    for i, j in pairs:
+        if len(i):
+            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+            held += len(i)
+        if held > 2 * most:
+            found = [_distinct(found)]
+            held = found[0].shape[1]
+            if held > most:
+                return None
+    out = _distinct(found) if found else np.zeros((2, 0), np.int64)
+    return out if out.shape[1] <= most else None
+
+
+def _lists(hot: int | None, long: int | None = None):
+    """Postings sorted by key -> pairs (a, b) of nodes; a list of more than `long` postings, or of more than `hot` with
+    more than CROWD pairs a posting, gives (key, null) instead.
 
     Rows are (k, node, one, two), k being key << 32 | done << 31 | size, or (key, size, mark, node, one, two), mark
     being side << 1 | done.
@@ -303,33 +322,45 @@ def _lists(hot: int | None):
 
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])[: None if len(key) else 1]
         dense = np.diff(starts) > DENSE
+        if hot is not None:
+            dense |= np.diff(starts) > hot
         few = ~np.repeat(dense, np.diff(starts))
         held += add(_near(*(x[few] for x in (key, size, mark & 1 > 0, mark >> 1, node, one, two))), node[few])
+        crowded = []
         for a, b in zip(starts[:-1][dense].tolist(), starts[1:][dense].tolist()):
-            held += add(_one_list(*(x[a:b] for x in (size, mark & 1 > 0, mark >> 1, node, one, two))), node[a:b])
+            pairs = _one_list(*(x[a:b] for x in (size, mark & 1 > 0, mark >> 1, node, one, two)))
+            if hot is None or b - a <= hot:
+                held += add(pairs, node[a:b])
+            elif (these := _few(pairs, node[a:b], CROWD * (b - a))) is None:
+                crowded.append(key[a])
+            else:
+                found.append(these)
+                held += these.shape[1]
             if held > PAIRS:
                 yield out(*_distinct(found))
                 found, held = [], 0
         if found:
             yield out(*_distinct(found))
+        if crowded:
+            yield out(crowded)
 
     def run(batches):
         held: list[np.ndarray] | None = None
-        long: int | None = None  # the list that is passed over
+        passed: int | None = None  # the list that is passed over
         waiting: list[pa.RecordBatch] = []
 
         def work(now: list[np.ndarray], final: bool):
-            nonlocal long
-            if long is not None:
-                now = [x[now[0] != long] for x in now]
+            nonlocal passed
+            if passed is not None:
+                now = [x[now[0] != passed] for x in now]
             if not len(now[0]):
                 return now
             starts = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1])
             sizes = np.diff(np.concatenate([starts, [len(now[0])]]))
             cut = len(now[0]) if final else int(starts[-1])
-            over = np.zeros(len(starts), bool) if hot is None else sizes > hot
+            over = np.zeros(len(starts), bool) if long is None else sizes > long
             if over[-1]:
-                cut, long = len(now[0]), int(now[0][-1])
+                cut, passed = len(now[0]), int(now[0][-1])
             some = np.repeat(~over, sizes)
             some[cut:] = False
             if over.any():
@@ -384,11 +415,11 @@ class _Join:
         self.gone: DataFrame = ws.keep(ws.spark.range(0).select(F.col("id").alias("node")))
 
     def first(self) -> DataFrame:
-        """The links of all lists up to HOT; returns the longer ones' names (key)."""
+        """The links of all lists up to LONG that aren't crowded; returns the others' names (key)."""
         rows = self.heads.select("node", "one", "two", "n", F.posexplode(F.expr(f"slice(words, 1, cast({self.prefix} as int))")).alias("at", "word"))
         rows = rows.selectExpr(f"shiftleft(cast(word as bigint), 32) | {_size('at')} as k", "node", "one", "two")
         rows = rows.repartition(F.shiftright("k", 32)).sortWithinPartitions("k")
-        found = self.ws.keep(rows.mapInArrow(_lists(HOT), "a long, b long"))
+        found = self.ws.keep(rows.mapInArrow(_lists(HOT, LONG), "a long, b long"))
         self.verify(found.where("b is not null").distinct())
         return self.ws.keep(found.where("b is null").select(F.col("a").alias("key")))
 
