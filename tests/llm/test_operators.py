@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -397,6 +398,19 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
 
 
+def test_training_takes_little_memory_of_the_driver(spark):
+    """Features come as bytes, not as a Python object a number."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1500)), "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        assert langid.train(df).langs == ["a", "b"]
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
 # --- components
 
 

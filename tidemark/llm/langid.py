@@ -145,7 +145,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], epochs: int = 25,
 
 
 def _features(batch: pa.RecordBatch):
-    """(lang, part, text) -> features of the whole text and of two short pieces of it."""
+    """(lang, part, text) -> features of the whole text and of two short pieces of it, as the bytes of their arrays:
+    lists would be a Python object a number on the driver."""
     langs, parts, texts = (c.to_pylist() for c in batch.columns)
     out = {"lang": [], "part": [], "buckets": [], "shares": []}
     for lang, part, text in zip(langs, parts, texts):
@@ -153,7 +154,7 @@ def _features(batch: pa.RecordBatch):
         for piece in (text, *(" ".join(words[a : a + n]) for a, n in ((part % max(1, len(words)), 4), (part // 7 % max(1, len(words)), 9)))):
             if any(map(str.isalpha, piece)):
                 buckets, shares = histogram(piece)
-                for k, v in zip(out, (lang, part, buckets, shares)):
+                for k, v in zip(out, (lang, part, buckets.tobytes(), shares.tobytes())):
                     out[k].append(v)
     yield out
 
@@ -172,14 +173,14 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
         this = F.lit(int(min(1.0, 1.3 * per_lang / n) * (1 << 30)))
         share = F.when(F.col("lang") == lang, this) if share is None else share.when(F.col("lang") == lang, this)
     sample = labelled.where(draw < share).select("lang", draw.alias("part"), "text")
-    rows = arrow_map(sample, "lang string, part long, buckets array<int>, shares array<float>", _features).collect()
+    rows = arrow_map(sample, "lang string, part long, buckets binary, shares binary", _features).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["part"], len(r["buckets"])))
     kept, seen = [], {}
     for r in rows:
         parts = seen.setdefault(r["lang"], set())
         if r["part"] in parts or len(parts) < per_lang:
             parts.add(r["part"])
-            kept.append((r["lang"], np.array(r["buckets"], np.int32), np.array(r["shares"], np.float32), r["part"] % 5 == 0))
+            kept.append((r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["part"] % 5 == 0))
     return fit(kept)
 
 
