@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -137,3 +138,16 @@ def test_long_lists_of_unlike_lines_stay_in_the_first_pass(spark, monkeypatch):
     got = linededup.line_dedup(spark.createDataFrame(unlike + copies, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.where("n_removed > 0").collect()) == list(range(1001, 1040))
     assert len(hot) == 1 and 0 < hot[0] <= 80
+
+
+def test_words_of_many_passes_are_counted_at_once(monkeypatch):
+    """The sums have BUCKETS places, many more than a pass has words; they are gone through once in that many words."""
+    texts = [f"w{i} v{i % 3} W{i}" for i in range(60)]
+    want = np.zeros(linededup.BUCKETS, np.int64)
+    for t in texts:
+        np.add.at(want, linededup._bucket(linededup.kernels.word_hashes([t.encode()])[0]), 1)
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    (out,) = linededup._word_counts([pa.RecordBatch.from_pydict({"text": [t]}) for t in texts])
+    assert len(calls) == 1
+    assert np.array_equal(np.frombuffer(b"".join(out["counts"].to_pylist()), np.uint32), want)

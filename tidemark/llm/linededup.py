@@ -58,9 +58,21 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 def _word_counts(batches):
     total = np.zeros(BUCKETS, np.int64)
+    held: list[np.ndarray] = []
+
+    def add() -> None:
+        nonlocal total
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held.clear()
+
     for batch in batches:
         for _, run in kernels.passes(batch.column(0).to_pylist()):
-            total += np.bincount(_bucket(kernels.word_hashes(run)[0]), minlength=BUCKETS)
+            held.append(_bucket(kernels.word_hashes(run)[0]))
+            # the sums have many more places than a run has words
+            if sum(map(len, held)) >= BUCKETS:
+                add()
+    add()
     parts = total.reshape(SEGMENTS, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([p.astype(np.uint32 if p.max() < 2**32 else np.int64).tobytes() for p in parts])], names=["segment", "counts"])
 
@@ -325,10 +337,11 @@ def _lists(hot: int | None, long: int | None = None):
         if hot is not None:
             dense |= np.diff(starts) > hot
         few = ~np.repeat(dense, np.diff(starts))
-        held += add(_near(*(x[few] for x in (key, size, mark & 1 > 0, mark >> 1, node, one, two))), node[few])
+        done, side = mark & 1 > 0, mark >> 1
+        held += add(_near(*(x[few] for x in (key, size, done, side, node, one, two))), node[few])
         crowded = []
         for a, b in zip(starts[:-1][dense].tolist(), starts[1:][dense].tolist()):
-            pairs = _one_list(*(x[a:b] for x in (size, mark & 1 > 0, mark >> 1, node, one, two)))
+            pairs = _one_list(*(x[a:b] for x in (size, done, side, node, one, two)))
             if hot is None or b - a <= hot:
                 held += add(pairs, node[a:b])
             elif (these := _few(pairs, node[a:b], CROWD * (b - a))) is None:
