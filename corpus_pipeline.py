@@ -46,7 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row stays that comes first by doc_id and hash of the text, once if it is
     repeated.  Rows without a doc_id or without words stay; equal rows without words stay once too."""
     ws = Workspace(spark, "neardedup")
-    found = ws.keep(minhash.near_duplicates(docs.select("doc_id", "text"), rows=True))
+    found = ws.keep(minhash.near_duplicates(docs.select("doc_id", "text"), rows=True, ws=ws))
+    ws.only(found)
     kept = _without(docs, found.where("doc_id is not null and not first"))
     repeated = ws.keep(found.where("doc_id is not null and first").groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash"))
     if repeated.isEmpty():
@@ -60,7 +61,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, with or without a doc_id; the others stay as they are."""
     ws = Workspace(spark, "decontamination")
-    found = ws.keep(decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), hash=True))
+    found = ws.keep(decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), hash=True, ws=ws))
+    ws.only(found)
     return _without(docs, found.where("contaminated")).select(*docs.columns)
 
 
@@ -89,4 +91,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = ws.keep(stage(spark, docs, sf_dir))
+        ws.only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,10 +1,12 @@
 import random
+import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tidemark.llm import mixing
+from tidemark.llm import common, mixing
 
 
 def test_stages(spark, tmp_path):
@@ -91,3 +93,37 @@ def test_mix_goes_through_the_tree(spark):
         assert r.taken == sum(min(256, r.size - 256 * d.block) for d in r.draws)
         assert len({(d.block, d["pass"]) for d in r.draws}) == len(r.draws)
     assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in mix.taken().where("taken > 0").collect())
+
+
+def test_mix_shuffles_no_text(spark, monkeypatch):
+    """Draws beyond the broadcast bound meet their rows without a shuffle of these, with the same result."""
+    rows = [(i % 300, " ".join(f"w{i}x{j}" for j in range(i * 37 % 900)) if i % 11 else None, ["a", "b", None][i % 3], i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, d_lot int").repartition(3)
+    want = sorted(map(str, corpus_pipeline.source_mixing(spark, docs, None).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10, raising=False)
+    monkeypatch.setattr(mixing, "LOT", 16, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.source_mixing(spark, docs, None)
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert sorted(map(str, out.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert shuffled and not any("text#" in x for x in shuffled)
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    """A stage's result stands on a table or two of what it found; those on the way are gone when it is returned."""
+    text = [" ".join(f"w{i // 2}x{j}" for j in range(60)) + f"\nline {i % 7} of words that are the same" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    spark.createDataFrame([(1, text[3][:200])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    root = Path(common.shared_dir(spark).removeprefix("file://"))
+    tables = lambda: {p for p in root.glob("*/*") if p.is_dir()}
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+        before = tables()
+        out = stage(spark, docs, str(tmp_path))
+        assert 1 <= len(tables() - before) <= 2
+        assert 0 < out.count() <= 40

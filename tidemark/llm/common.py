@@ -42,18 +42,28 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 class Workspace:
     """Written tables of one query: keep() cuts the lineage, so that a lost executor costs only the stage it
-    was in; drop() deletes tables that nothing reads any more."""
+    was in; drop() deletes tables that nothing reads any more, only() all but those that still are."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(_delete, spark, self.root)
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None, buckets: int = 0) -> DataFrame:
+        """With by, a column of whole numbers, the table lies in buckets of it: a join on it alone with rows that are
+        repartitioned by it into as many partitions doesn't shuffle the table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if by is None:
+            writer.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
+        else:
+            # only a catalogue's table may have buckets; once it is read its name isn't needed
+            name = f"spark_catalog.default.tidemark_{uuid.uuid4().hex}"
+            writer.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+            out = self.spark.table(name)
+            self.spark.sql(f"drop table {name}")
         self.paths[id(out)] = path
         return out
 
@@ -61,6 +71,11 @@ class Workspace:
         for df in tables:
             _delete(self.spark, self.paths.pop(id(df)))
 
+    def only(self, *tables: DataFrame) -> None:
+        self.paths = {id(df): self.paths[id(df)] for df in tables}
+        for path in {f"{self.root}/{i + 1}" for i in range(self.n)} - set(self.paths.values()):
+            _delete(self.spark, path)
+
 
 #: rows of a few numbers each that may be broadcast, some 50 MB
 BROADCAST_ROWS = 500_000

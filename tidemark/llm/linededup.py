@@ -533,6 +533,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = removed_lines(ws, part).distinct().groupBy("doc_id", "hash").agg(F.collect_set("line").alias("gone"))
     owner, name, numbers = unused(docs, "owner", "hash", "gone")
     gone = ws.keep(gone.select(F.col("doc_id").alias(owner), F.col("hash").alias(name), F.col("gone").alias(numbers)))
+    ws.only(gone)
     rows, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
     gone = light(gone, rows if lines <= BROADCAST_LINES else BROADCAST_ROWS + 1)
     out = docs.join(gone, (F.col("doc_id").cast("long") == F.col(owner)) & (F.xxhash64("text") == F.col(name)), "left")

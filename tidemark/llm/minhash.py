@@ -174,7 +174,7 @@ def _blocks(need: list[int], percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-9, rows: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-9, rows: bool = False, ws: Workspace | None = None) -> DataFrame:
     """docs (doc_id long, text string, ...) -> one row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; a text's set holds its distinct k-word shingles, or
@@ -184,9 +184,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     component_id and is kept.  Other columns are ignored; an empty table gives an empty result.
 
     With rows, a row is told by its doc_id and its text: there are further columns hash (xxhash64 of the text)
-    and first, whether no row of its component comes before it in the order of (doc_id, hash).
+    and first, whether no row of its component comes before it in the order of (doc_id, hash).  The result reads tables
+    in ws, or in a workspace of its own.
     """
-    ws = Workspace(docs.sparkSession, "minhash")
+    ws = ws or Workspace(docs.sparkSession, "minhash")
     need = least_matches(percent / 100, miss)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias("hash")] * rows)
     sketch = ws.keep(arrow_map(docs, "doc_id long, n long, node long, bands array<long>, sig binary" + ", hash long" * rows, _sketch(k)))

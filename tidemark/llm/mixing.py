@@ -21,13 +21,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, light
+from .common import BROADCAST_ROWS, Workspace, light, unused
 
 BLOCK = 256
 #: blocks of one hash range, about, and words of one shard, about; a mix has LEAST_SHARDS at least
 RANGE, SHARD_WORDS, LEAST_SHARDS = 50_000, 1 << 27, 16
 #: draws of a source that look for their shard together
 BIN = 1 << 16
+#: rows that follow one another in a partition and lie in one bucket, a power of 2
+LOT = 1 << 12
 WEIGHTS = (5, 2, 1)
 
 
@@ -110,7 +112,15 @@ class Mix:
         self.spark, self.seed = docs.sparkSession, seed
         self.ws = ws = Workspace(self.spark, "mix")
         own = [c for c in extra or [] if c.lower() not in {"rid", "doc_id", "source", "size", "source_size", "target", "taken", "n_draws", "first_shard", "draws"}]
-        self.rows = ws.keep(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), *own))
+        rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), *own)
+        self.lots: DataFrame | None = None
+        if own:  # in buckets of lots, so that mixed() needn't shuffle texts
+            (self.lot,) = unused(rows, "lot")
+            self.buckets = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+            self.lots = ws.keep(rows.withColumn(self.lot, self._lot()), self.lot, self.buckets)
+            self.rows = self.lots.drop(self.lot)
+        else:
+            self.rows = ws.keep(rows)
         self.n_blocks = F.ceil(F.col("size") / BLOCK)
         # one row per source: sources are categories, however many documents they hold
         found = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.sum(self.n_blocks).alias("blocks")).collect()
@@ -123,6 +133,11 @@ class Mix:
         rest = [t - p * z for p, t, z in zip(passes, self.targets, self.sizes)]
         self._cuts(passes, rest)
 
+    @staticmethod
+    def _lot() -> Column:
+        """Row numbers of a partition follow one another, from 0 in their lower 33 bits."""
+        return F.shiftright("rid", LOT.bit_length() - 1)
+
     def _key(self, block: Column) -> Column:
         return F.xxhash64(F.lit(self.seed), "doc_id", block, "size")
 
@@ -190,10 +205,21 @@ class Mix:
 
     def mixed(self, shards: int | None = None) -> DataFrame:
         """rows that a draw falls on, with source_size, target, taken (words of all draws), n_draws and draws: shard,
-        position, block and pass of each.  Only here, after all draws are placed, do further columns take part."""
-        where = F.array_sort(F.collect_list(F.struct("shard", "position", "block", "pass"))).alias("draws")
-        took = self.draws(shards).groupBy("rid").agg(F.sum("words").alias("taken"), F.count("*").alias("n_draws"), where)
-        out = self.rows.join(light(took, sum(self.quotas)), "rid")
+        position, block and pass of each.  Only here, after all draws are placed, do further columns take part; they
+        are never shuffled: draws that can't be broadcast go to the bucket of their row."""
+        draws = self.draws(shards).select("rid", "words", F.struct("shard", "position", "block", "pass").alias("draw"))
+        gathered = F.sum("words").alias("taken"), F.count("draw").alias("n_draws"), F.array_sort(F.collect_list("draw")).alias("draws")
+        if sum(self.quotas) <= BROADCAST_ROWS or self.lots is None:
+            out = self.rows.join(light(draws.groupBy("rid").agg(*gathered), sum(self.quotas)), "rid")
+        else:
+            # an array of all rows of a lot in their order, drawn or not, so that each finds its own by its number
+            lot, slots = unused(self.lots, "d_lot", "d_slots")
+            every = draws.unionByName(self.rows.select("rid"), allowMissingColumns=True).withColumn(lot, self._lot()).repartition(self.buckets, lot)
+            found = every.groupBy(lot, "rid").agg(*gathered).groupBy(lot).agg(F.sort_array(F.collect_list(F.struct("rid", "taken", "n_draws", "draws"))).alias(slots))
+            # Spark leaves a bucketed table where it is only if the join has no key beside that of the buckets
+            out = self.lots.join(found.hint("shuffle_hash"), F.col(self.lot) == F.col(lot))
+            slot = F.col(slots)[F.col("rid").bitwiseAND(F.lit(LOT - 1)).cast("int")]
+            out = out.select(*self.rows.columns, *[slot[c].alias(c) for c in ("taken", "n_draws", "draws")]).where("n_draws > 0")
         return out.join(self.plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source", "passes", "c_range", "cut")
 
     def draws(self, shards: int | None = None) -> DataFrame:
