@@ -181,3 +181,43 @@ def test_messages(spark, tmp_path):
     R.encode_messages(docs, wrappers.Struct).write.format("records").mode("append").save(str(tmp_path / "m"))
     got = R.typed_messages(spark.read.format("records").load(str(tmp_path / "m")), wrappers.Struct, "a double, b string").collect()
     assert {(r.a, r.b) for r in got} == {(1.0, "x"), (None, "y"), (None, None)} and len(got) == 3
+
+
+def test_columns_of_records_are_those_of_single_ones():
+    import os
+
+    import pyarrow as pa
+
+    from tidemark.functions import columns
+
+    mark = codecs.put_uvarint(R.MAGIC)
+    values = [None, b"", b"a" * 14, b"a" * 15, b"a" * 61, os.urandom(300), os.urandom(70_000), mark, R.put_record(b"abc", 0) * 3] + [b"%d" % i for i in range(2000)] + [None]
+    for code in (0, 1, 2, 3):
+        data = R.file_head(code) + b"".join(R.put_record(v, code) for v in values)
+        assert R.file_head(code) + bytes(columns.content(R.put_records(pa.array(values, pa.binary()), code))) == data
+        both = lambda d, **o: (list(R.read_records(d, **o)), [(int(at), v) for ats, vs in R.record_columns(d, **o) for at, v in zip(ats, vs.to_pylist())])
+        for d in (data, data + bytes(1000)):
+            slow, fast = both(d)
+            assert slow == fast and [v for _, v in fast] == values
+        offsets = [at for at, _ in slow]
+        slow, fast = both(data, at=offsets[5], end=offsets[900] + 1)
+        assert slow == fast and len(fast) == 896
+        slow, fast = both(data + R.put_record(b"torn", code)[:-1], tolerate_torn_tail=True)
+        assert slow == fast and len(fast) == len(values)
+        with pytest.raises(R.RecordError, match="CHECKSUM"):
+            list(R.record_columns(data[: offsets[900] + 6] + bytes([data[offsets[900] + 6] ^ 1]) + data[offsets[900] + 7 :]))
+    ops = [R.mutation("PUT", b"k", b""), R.mutation("PUT", b"k" * 300, b"v" * 20_000), R.mutation("DEL", b"d")]
+    older = [R.put_field(1, R.put_field(1, b"old") + R.put_field(2, b"v")), R.mutation("PUT", b"", b"v")]
+    for some in (ops, ops + older):
+        assert list(zip(*(c.to_pylist() for c in R.mutation_columns(pa.array(some, pa.binary()))))) == [R.parse_mutation(m) for m in some]
+
+
+def test_small_segments_share_tasks(spark, tmp_path):
+    R.register(spark)
+    path = str(tmp_path / "log")
+    rows = spark.range(3000).selectExpr("cast(id div 10 as int) as segment", "id", "cast(cast(id as string) as binary) as key", "if(id % 7 = 0, null, cast(repeat('v', cast(id % 40 as int)) as binary)) as value").repartition("segment").sortWithinPartitions("segment", "id")
+    R.encode_mutations(rows).write.format("log").mode("append").save(path)
+    log = spark.read.format("log").load(path)
+    assert log.rdd.getNumPartitions() < 30  # of 300 segments
+    got = [(r.seq, r.op, bytes(r.key), r.value if r.value is None else bytes(r.value)) for r in R.decode_mutations(log).orderBy("seq").collect()]
+    assert got == [(i // 10 * (1 << 40) + i % 10, "PUT" if i % 7 else "DEL", b"%d" % i, b"v" * (i % 40) if i % 7 else None) for i in range(3000)]

@@ -14,10 +14,13 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
 
-from ..functions import codecs
+from ..functions import codecs, columns
 
 MAGIC = 0x130691
 HEAD = 8
@@ -129,21 +132,100 @@ def read_records(data: bytes, at: int = HEAD, end: int | None = None, skip: int
     file are padding; a header that the file ends in is its end."""
     version, code = open_head(data)
     while at < len(data) and (end is None or at < end):
-        try:
-            record, after = read_at(data, at, version, code, skip > 0)
-        except EOFError:
+        got = _next(data, at, version, code, skip > 0, tolerate_torn_tail)
+        if got is None:
             return
-        except RecordError as e:
-            if e.kind == "MAGIC" and not any(data[at:]):
-                return
-            if e.kind == "TORN" and tolerate_torn_tail:
-                return
-            raise
         if skip > 0:
             skip -= 1
         else:
-            yield at, record
-        at = after
+            yield at, got[0]
+        at = got[1]
+
+
+def _next(data: bytes, at: int, version: int, code: int, skip: bool = False, tolerate_torn_tail: bool = False) -> tuple[bytes | None, int] | None:
+    """What read_at returns, or None where the records end."""
+    try:
+        return read_at(data, at, version, code, skip)
+    except EOFError:
+        return None
+    except RecordError as e:
+        if e.kind == "MAGIC" and not any(data[at:]):
+            return None
+        if e.kind == "TORN" and tolerate_torn_tail:
+            return None
+        raise
+
+
+#: bytes of a file that are looked at together
+WINDOW = 4 << 20
+
+
+class _Heads:
+    """The headers of version 4 at given places of a buffer (SLACK zeros behind its n bytes), and which of them begin a
+    record that lies in the buffer as a whole."""
+
+    def __init__(self, data: np.ndarray, n: int, at: np.ndarray, code: int):
+        self.data, self.code, self.start = data, code, at
+        marked = (data[at] == _MARK[0]) & (data[at + 1] == _MARK[1]) & (data[at + 2] == _MARK[2])
+        self.nil = data[at + 3] == 1
+        raw, end, good = columns.get_uvarints(data, at + 4)
+        packed, end, fine = columns.get_uvarints(data, end)
+        want, self.payload, whole = columns.get_uvarints(data, end)
+        size = np.where(self.nil, 0, packed if codecs.COMPRESSORS[code] else raw)
+        self.whole = marked & good & fine & whole & (self.payload <= n) & (size <= n)
+        self.raw, self.size = (np.minimum(x, n).astype(np.int64) for x in (raw, size))
+        self.end = self.payload + self.size
+        self.whole &= self.end <= n
+        some = np.flatnonzero(self.whole)
+        self.whole[some] = codecs.crc32c.runs(data, at[some], end[some] - at[some]) == want[some]
+
+    def values(self, some: np.ndarray | slice) -> pa.BinaryArray:
+        return columns.decompress(self.data, self.payload[some], self.size[some], self.raw[some], self.nil[some], self.code)
+
+
+def record_columns(data: bytes, at: int = HEAD, end: int | None = None, skip: int = 0, tolerate_torn_tail: bool = False) -> Iterator[tuple[np.ndarray, pa.BinaryArray]]:
+    """What read_records gives, as columns of offsets and records.  In a window of the file, whole records of version 4
+    are found by their magic number and checksum, and each must begin where the one before ends; what else stands there
+    is read one by one."""
+    version, code = open_head(data)
+    if version < 4 or skip:
+        yield from _one_by_one(read_records(data, at, end, skip, tolerate_torn_tail))
+        return
+    stop = len(data) if end is None else min(end, len(data))
+    while at < stop:
+        n = min(WINDOW, len(data) - at)
+        some = columns.padded(data[at : at + n])
+        marks = np.flatnonzero((some[:n] == _MARK[0]) & (some[1 : n + 1] == _MARK[1]) & (some[2 : n + 2] == _MARK[2]))
+        heads = _Heads(some, n, marks[marks < stop - at], code)
+        found = np.flatnonzero(heads.whole)
+        if not len(found) or heads.start[found[0]] or (heads.end[found[:-1]] != heads.start[found[1:]]).any():
+            place, chain, here = dict(zip(heads.start[found].tolist(), found.tolist())), [], 0
+            while here in place:  # a payload may hold what looks like a record
+                chain.append(place[here])
+                here = int(heads.end[chain[-1]])
+            found = np.array(chain, np.int64)
+        if len(found):
+            try:
+                values = heads.values(found)
+            except Exception:  # noqa: BLE001 - a payload can't be unpacked: reading on to it tells
+                yield from _one_by_one(read_records(data, at, end, 0, tolerate_torn_tail))
+                return
+            yield at + heads.start[found], values
+            at += int(heads.end[found[-1]])
+            continue
+        got = _next(data, at, version, code, False, tolerate_torn_tail)
+        if got is None:
+            return
+        yield np.array([at], np.int64), pa.array([got[0]], pa.binary())
+        at = got[1]
+
+
+def _one_by_one(records: Iterator[tuple[int, bytes | None]]) -> Iterator[tuple[np.ndarray, pa.BinaryArray]]:
+    from itertools import batched
+
+    for part in batched(records, 8192):
+        offsets, values = zip(*part)
+        yield np.array(offsets, np.int64), pa.array(values, pa.binary())
 
 
 def seek(data: bytes, at: int) -> tuple[int, bytes | None] | None:
@@ -169,6 +251,50 @@ def put_record(record: bytes | None, code: int) -> bytes:
     return head if record is None else head + payload
 
 
+_MARKS = pa.array([_MARK + bytes((nil,)) for nil in (0, 1)], pa.binary())
+
+
+def put_records(values: pa.BinaryArray, code: int) -> pa.BinaryArray:
+    """put_record of each value."""
+    nil, raw = values.is_null(), columns.plain(values)
+    payload = columns.compress(raw, code)
+    sizes = columns.flat(payload)[2] if codecs.COMPRESSORS[code] else np.zeros(len(values), np.int64)
+    head = columns.join(_MARKS.take(nil.cast(pa.int8())), columns.put_uvarints(columns.flat(raw)[2]), columns.put_uvarints(sizes))
+    checks = columns.put_uvarints(codecs.crc32c.runs(*columns.flat(head)))
+    return columns.join(head, checks, pc.if_else(nil, pa.scalar(b"", pa.binary()), payload) if values.null_count else payload)
+
+
+def _pieces(batches, most: int = 16 << 20):
+    """Batches cut so that none has much more bytes."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal numbers."""
+    if column.null_count:
+        raise ValueError("a number of a segment or table is null")
+    x = column.to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)] if len(x) else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(x[a]), a, b
+
+
+def _joined(batches, rows: int = 8192, most: int = 4 << 20):
+    """Batches put together up to about so many rows or bytes."""
+    some, n, size = [], 0, 0
+    for batch in batches:
+        some.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= rows or size >= most:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, n, size = [], 0, 0
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
 def file_head(code: int) -> bytes:
     return struct.pack("<II", 4, code)
 
@@ -186,6 +312,28 @@ class _Span(InputPartition):
         self.path, self.start, self.end, self.seq = path, start, end, seq
 
 
+class _Group(InputPartition):
+    """Files (path, number) that one task reads one after the other."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
+
+
+def _grouped(files: list[tuple[str, int]], sizes: list[int]) -> list[_Group]:
+    """Files in order, in tasks of about 1/128 of all, but 2 MiB at least and 32 MiB at most, where opening one counts as
+    64 KiB; a larger file is a task of its own."""
+    cost = [n + (64 << 10) for n in sizes]
+    most = min(32 << 20, max(2 << 20, sum(cost) // 128))
+    groups, held = [], 0
+    for file, n in zip(files, cost):
+        if not groups or held + n > most:
+            groups.append(_Group([]))
+            held = 0
+        groups[-1].files.append(file)
+        held += n
+    return groups or [_Group([])]
+
+
 class _RecordReader(DataSourceReader):
     """One task per span of a file.  Only version 4 is split: a span begins at the first whole record in it, which
     the header checksum proves."""
@@ -237,16 +385,11 @@ class _RecordReader(DataSourceReader):
                 if found is None:
                     return
                 at = found[0]
-            import pyarrow as pa
-            from itertools import batched
-
-            for part in batched(read_records(data, at, span.end, self.skip, self.torn), 8192):
-                offsets, values = zip(*part)
-                columns = [pa.array([span.path] * len(part)), pa.array(offsets, pa.int64()), pa.array(values, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "record"])
+            for offsets, values in record_columns(data, at, span.end, self.skip, self.torn):
+                yield pa.RecordBatch.from_arrays([pa.repeat(span.path, len(values)), pa.array(offsets), values], names=["file", "offset", "record"])
 
 
-class _RecordWriter(DataSourceWriter):
+class _RecordWriter(DataSourceArrowWriter):
     """One file per task, renamed into place when all tasks are done; no file is ever overwritten."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -259,9 +402,8 @@ class _RecordWriter(DataSourceWriter):
         name = os.path.join(self.path, f".part-{uuid.uuid4().hex}")
         with open(name, "xb") as file:
             file.write(file_head(self.code))
-            for row in iterator:
-                value = row["record"]
-                file.write(put_record(None if value is None else bytes(value), self.code))
+            for batch in _pieces(iterator):
+                file.write(columns.content(put_records(batch.column("record").cast(pa.binary()), self.code)))
             file.flush()
             os.fsync(file.fileno())
         message = WriterCommitMessage()
@@ -296,23 +438,27 @@ class RecordSource(DataSource):
 
 
 class _LogReader(DataSourceReader):
-    """Segments in the order of their names; ordinal counts within a segment."""
+    """Segments in the order of their names, small ones together in a task; ordinal counts within a segment."""
 
     def __init__(self, options: dict):
         self.paths = _files(options.get("path", ""), "*.wal")
         self.torn = options.get("toleratetorntail", "false").lower() == "true"
 
     def partitions(self):
-        return [_Span(p, HEAD, None, i) for i, p in enumerate(self.paths)] or [_Span("", 0, 0)]
+        return _grouped([(p, i) for i, p in enumerate(self.paths)], [os.path.getsize(p) for p in self.paths])
 
-    def read(self, span):
-        if not span.path:
-            return
+    def read(self, group):
+        return _joined(batch for path, seq in group.files for batch in self._segment(path, seq))
+
+    def _segment(self, path, seq):
         import mmap
 
-        with open(span.path, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            for i, (_, record) in enumerate(read_records(data, tolerate_torn_tail=self.torn)):
-                yield os.path.basename(span.path), span.seq, i, record
+        name, n = os.path.basename(path), 0
+        with open(path, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            for _, values in record_columns(data, tolerate_torn_tail=self.torn):
+                numbers = pa.array(np.arange(n, n + len(values)))
+                yield pa.RecordBatch.from_arrays([pa.repeat(name, len(values)), pa.repeat(pa.scalar(seq, pa.int32()), len(values)), numbers, values], names=["file", "segment", "ordinal", "record"])
+                n += len(values)
 
 
 class _LogWriter(_RecordWriter):
@@ -320,22 +466,34 @@ class _LogWriter(_RecordWriter):
     a segment that exists or that two tasks write is an error."""
 
     def write(self, iterator):
-        from itertools import groupby
-
         os.makedirs(self.path, exist_ok=True)
         message = WriterCommitMessage()
         message.names = []
-        for segment, rows in groupby(iterator, key=lambda r: r["segment"]):
-            name = os.path.join(self.path, f".{segment:06d}-{uuid.uuid4().hex}")
-            with open(name, "xb") as file:
-                file.write(file_head(self.code))
-                for row in rows:
-                    file.write(put_record(None if row["record"] is None else bytes(row["record"]), self.code))
-                file.flush()
-                os.fsync(file.fileno())
-            message.names.append((name, os.path.join(self.path, f"{segment:06d}.wal")))
+        file = last = None
+        try:
+            for batch in _pieces(iterator):
+                records = put_records(batch.column("record").cast(pa.binary()), self.code)
+                for segment, a, b in _runs(batch.column("segment")):
+                    if segment != last:
+                        self._end(file)
+                        name = os.path.join(self.path, f".{segment:06d}-{uuid.uuid4().hex}")
+                        file, last = open(name, "xb"), segment
+                        file.write(file_head(self.code))
+                        message.names.append((name, os.path.join(self.path, f"{segment:06d}.wal")))
+                    file.write(columns.content(records[a:b]))
+            self._end(file)
+        finally:
+            if file:
+                file.close()
         return message
 
+    @staticmethod
+    def _end(file) -> None:
+        if file:
+            file.flush()
+            os.fsync(file.fileno())
+            file.close()
+
     def commit(self, messages):
         names = [x for m in messages if m is not None for x in m.names]
         for name, final in names:
@@ -656,26 +814,55 @@ def encode_mutations(rows):
     """Rows (segment, key, value: null deletes), in order, as rows (segment, record) for the log source."""
 
     def encode(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            values = zip(pdf["key"], pdf["value"])
-            yield pd.DataFrame({"segment": pdf["segment"], "record": [mutation("DEL", bytes(k)) if v is None else mutation("PUT", bytes(k), bytes(v)) for k, v in values]})
-
-    return rows.select("segment", "key", "value").mapInPandas(encode, "segment int, record binary")
+        for batch in _pieces(batches):
+            segment, keys, values = batch.columns
+            if keys.null_count:
+                raise ValueError("a key is null")
+            keys, gone = columns.plain(keys), values.is_null()
+            records = columns.put_field(1, columns.join(columns.put_field(3, keys), columns.put_field(4, columns.plain(values))))
+            if values.null_count:
+                records = pc.if_else(gone, columns.put_field(2, columns.put_field(2, keys)), records)
+            yield pa.RecordBatch.from_arrays([segment, records], names=["segment", "record"])
+
+    return rows.select("segment", "key", "value").mapInArrow(encode, "segment int, record binary")
+
+
+def mutation_columns(records: pa.BinaryArray) -> tuple[pa.Array, pa.BinaryArray, pa.BinaryArray]:
+    """parse_mutation of each record, as columns (op, key, value)."""
+    if not records.null_count:
+        data, at, sizes = columns.flat(records)
+        data, end = columns.padded(data), at + sizes
+        put = data[at] == 10
+        n, inner, good = columns.get_uvarints(data, at + 1)
+        good &= (put | (data[at] == 18)) & (sizes > 0) & (n <= sizes) & (inner + n.astype(np.int64) == end) & (inner < end)
+        inner = np.where(good, inner, 0)
+        n, key, fine = columns.get_uvarints(data, inner + 1)
+        good &= fine & (data[inner] == np.where(put, 26, 18)) & (n > 0) & (n <= sizes)
+        n_key = np.where(good, n, 0).astype(np.int64)
+        after = np.where(good, key + n_key, 0)
+        more = after < end  # a put's value, unless it is empty
+        good &= (after <= end) & (put | ~more)
+        after = np.where(good, after, 0)
+        n, value, fine = columns.get_uvarints(data, after + 1)
+        good &= ~more | fine & (data[after] == 34) & (n > 0) & (n <= sizes) & (value + np.minimum(n, np.uint64(len(data))).astype(np.int64) == end)
+        if good.all():
+            n_value = np.where(more, n, 0).astype(np.int64)
+            ops = pa.array(["PUT", "DEL"]).take(pa.array((~put).astype(np.int8)))
+            return ops, columns.gather(data, key, n_key), columns.gather(data, value, n_value, ~put)
+    ops, keys, values = zip(*(parse_mutation(r) for r in records.to_pylist())) if len(records) else ((), (), ())
+    return pa.array(ops, pa.string()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())
 
 
 def decode_mutations(log):
     """Rows of the log source as MUTATION rows: seq orders by segment, then record."""
 
     def decode(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            ops = [parse_mutation(bytes(r)) for r in pdf["record"]]
-            yield pd.DataFrame({"seq": pdf["segment"].astype("int64") * (1 << 40) + pdf["ordinal"], "op": [o for o, _, _ in ops], "key": [k for _, k, _ in ops], "value": [v for _, _, v in ops]})
+        for batch in _pieces(batches):
+            segment, ordinal, record = batch.columns
+            seq = pc.add(pc.multiply(segment.cast(pa.int64()), 1 << 40), ordinal)
+            yield pa.RecordBatch.from_arrays([seq, *mutation_columns(record.cast(pa.binary()))], names=["seq", "op", "key", "value"])
 
-    return log.mapInPandas(decode, "seq long, op string, key binary, value binary")
+    return log.select("segment", "ordinal", "record").mapInArrow(decode, "seq long, op string, key binary, value binary")
 
 
 def encode_messages(rows, message, json: str = "json"):
