@@ -221,3 +221,34 @@ def test_small_segments_share_tasks(spark, tmp_path):
     assert log.rdd.getNumPartitions() < 30  # of 300 segments
     got = [(r.seq, r.op, bytes(r.key), r.value if r.value is None else bytes(r.value)) for r in R.decode_mutations(log).orderBy("seq").collect()]
     assert got == [(i // 10 * (1 << 40) + i % 10, "PUT" if i % 7 else "DEL", b"%d" % i, b"v" * (i % 40) if i % 7 else None) for i in range(3000)]
+
+
+def test_small_tables_share_tasks(spark, tmp_path):
+    R.register(spark)
+    path = str(tmp_path / "tables")
+    rows = spark.range(6000).selectExpr("id % 300 as gen", "cast(lpad(cast(id as string), 9, '0') as binary) as key", "if(id % 7 = 0, null, cast(repeat('v', cast(id % 40 as int)) as binary)) as value")
+    R.save_tables(rows, path)
+    table = spark.read.format("sortedtable").load(path)
+    assert table.rdd.getNumPartitions() < 30  # of 300 tables
+    got = [(r.gen, bytes(r.key), r.value if r.value is None else bytes(r.value)) for r in table.orderBy("key").collect()]
+    assert got == [(i % 300, b"%09d" % i, b"v" * (i % 40) if i % 7 else None) for i in range(6000)]
+    assert table.where(f"key >= X'{b'000000100'.hex()}' and key <= X'{b'000001099'.hex()}'").count() == 1000
+
+
+def test_values_of_tables_in_any_order_and_of_older_ones(tmp_path):
+    import numpy as np
+
+    data = rio([b"v%d" % i * (i % 90) if i % 9 else None for i in range(3000)], 2)
+    rows = list(R.read_records(data))
+    for order in (range(3000), range(2999, -1, -1), [i * 7 % 3000 for i in range(3000)], [5], []):
+        assert R.values_at(data, np.array([rows[i][0] for i in order], np.int64), 4, 2).to_pylist() == [rows[i][1] for i in order]
+    # values beyond a window, keys of no bytes, and a table without checksums
+    R.write_table(str(tmp_path / "t"), [(b"", b"x" * (5 << 20)), (b"a", None), (b"b", b""), (b"c", b"y" * (5 << 20)), (b"d", b"z")], "none")
+    read = lambda: [(k, v) for b in R._TableReader({"path": str(tmp_path / "t")}).read(R._Group([(str(tmp_path / "t"), 0)])) for k, v in zip(b.column("key").to_pylist(), b.column("value").to_pylist())]
+    want = [(b"", b"x" * (5 << 20)), (b"a", None), (b"b", b""), (b"c", b"y" * (5 << 20)), (b"d", b"z")]
+    assert read() == want
+    with open(tmp_path / "t" / "index.rio", "rb") as file:
+        entries = [dict(R.fields(e)) for _, e in R.read_records(file.read())]
+    with open(tmp_path / "t" / "index.rio", "wb") as file:
+        file.write(rio([R.put_field(1, e.get(1, b"")) + R.put_field(2, e[2]) for e in entries]))
+    assert read() == want

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
 
 from ..functions import codecs, columns
 
@@ -228,6 +228,26 @@ def _one_by_one(records: Iterator[tuple[int, bytes | None]]) -> Iterator[tuple[n
         yield np.array(offsets, np.int64), pa.array(values, pa.binary())
 
 
+def values_at(data: bytes, offsets: np.ndarray, version: int, code: int) -> pa.BinaryArray:
+    """The records at given offsets; those that follow one another in a window are read together."""
+    parts, i = [], 0
+    while i < len(offsets):
+        first = int(offsets[i])
+        near = offsets[i : i + 50_000 if version == 4 else i + 1] - first
+        near = near[: int(np.argmax(np.append((near < 0) | (near >= WINDOW) | (first < HEAD), True)))]
+        if version == 4 and len(near) > 1:
+            n = min(int(near.max()) + (64 << 10), len(data) - first)
+            heads = _Heads(columns.padded(data[first : first + n]), n, near[near < n], code) if n > 0 else None
+            good = int(np.argmin(np.append(heads.whole, False))) if heads is not None else 0
+            if good:
+                parts.append(heads.values(slice(0, good)))
+                i += good
+                continue
+        parts.append(pa.array([read_at(data, first, version, code)[0]], pa.binary()))
+        i += 1
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def seek(data: bytes, at: int) -> tuple[int, bytes | None] | None:
     """The first whole record that starts at or after a position (versions 2 and later), or None."""
     version, code = open_head(data)
@@ -557,8 +577,8 @@ class ChecksumError(ValueError):
 
 
 class _TableReader(DataSourceReader):
-    """One task per table folder, in the order of names (gen is the ordinal).  Keys are in the index, so a pushed
-    key range is met before any value is read."""
+    """Table folders in the order of names (gen is the ordinal), small ones together in a task.  Keys are in the index,
+    so a pushed key range is met before any value is read."""
 
     def __init__(self, options: dict):
         path = options.get("path", "")
@@ -578,46 +598,58 @@ class _TableReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        return [_Span(p, 0, None, i) for i, p in enumerate(self.paths)] or [_Span("", 0, 0)]
+        sizes = [sum(os.path.getsize(os.path.join(p, name)) for name in ("index.rio", "data.rio")) for p in self.paths]
+        return _grouped([(p, i) for i, p in enumerate(self.paths)], sizes)
 
-    def read(self, span):
-        if not span.path:
-            return
+    def read(self, group):
+        return _joined(batch for path, seq in group.files for batch in self._table(path, seq))
+
+    def _table(self, path, seq):
         import mmap
 
-        meta = os.path.join(span.path, "meta.pb.bin")
-        version = 0
-        if os.path.exists(meta):
-            with open(meta, "rb") as file:
-                version = dict(fields(file.read())).get(7, 0)
-        bloom = os.path.join(span.path, "bloom.bin")
+        bloom = os.path.join(path, "bloom.bin")
         if self.low is not None and self.low == self.high and os.path.exists(bloom):
             with open(bloom, "rb") as file:
                 if self.low not in codecs.Bloom.load(file.read()):
                     return
-        with open(os.path.join(span.path, "index.rio"), "rb") as file:
+        meta = os.path.join(path, "meta.pb.bin")
+        version = 0
+        if os.path.exists(meta):
+            with open(meta, "rb") as file:
+                version = dict(fields(file.read())).get(7, 0)
+        with open(os.path.join(path, "index.rio"), "rb") as file:
             index = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        with open(os.path.join(span.path, "data.rio"), "rb") as file:
+        with open(os.path.join(path, "data.rio"), "rb") as file:
             mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         form, code = open_head(mapped)
-        rows, size = [], 0
-        for _, entry in read_records(index, self._first(index)):
-            parts = dict(fields(entry or b""))
-            key, offset, want = parts.get(1, b""), parts.get(2, 0), parts.get(3, 0)
-            if self.low is not None and key < self.low:
+        with index, mapped:
+            for _, entries in record_columns(index, self._first(index)):
+                keys, offsets, wanted = _entries(entries)
+                beyond = False
+                if self.high is not None:
+                    over = pc.greater(keys, pa.scalar(self.high, pa.binary())).to_numpy(zero_copy_only=False)
+                    if beyond := bool(over.any()):
+                        n = int(np.argmax(over))
+                        keys, offsets, wanted = keys[:n], offsets[:n], wanted[:n]
+                if self.low is not None:
+                    kept = pc.greater_equal(keys, pa.scalar(self.low, pa.binary())).to_numpy(zero_copy_only=False).astype(bool)
+                    keys, offsets, wanted = keys.filter(pa.array(kept)), offsets[kept], wanted[kept]
+                step = 8192
+                for at in range(0, len(keys), step):
+                    yield from self._batches(path, seq, keys[at : at + step], offsets[at : at + step], wanted[at : at + step], mapped, form, code, version)
+                if beyond:
+                    return
+
+    def _batches(self, path, seq, keys, offsets, wanted, mapped, form, code, version):
+        """Rows of some keys, of about 4 MiB of the file each."""
+        far = np.flatnonzero((offsets - offsets[0]) // WINDOW != np.append(0, offsets[:-1] - offsets[0]) // WINDOW).tolist()
+        for a, b in zip([0, *far], [*far, len(keys)]):
+            if a == b:
                 continue
-            if self.high is not None and key > self.high:
-                break
-            value, _ = read_at(mapped, offset, form, code)
-            if version == 0 and value is not None:
-                value = dict(fields(value)).get(1, b"")  # older tables wrap values in a message
-            rows.append((key, value, offset, want))
-            size += len(value or b"")
-            if size > 4 << 20 or len(rows) > 50_000:
-                yield self._batch(span, rows)
-                rows, size = [], 0
-        if rows:
-            yield self._batch(span, rows)
+            values = values_at(mapped, offsets[a:b], form, code)
+            if version == 0:  # older tables wrap values in a message
+                values = pa.array([None if v is None else dict(fields(v)).get(1, b"") for v in values.to_pylist()], pa.binary())
+            yield self._batch(path, seq, keys[a:b], values, offsets[a:b], wanted[a:b])
 
     def _first(self, index) -> int:
         """A position in the index at or before the first key from the lower bound on, by bisection of its bytes."""
@@ -633,19 +665,38 @@ class _TableReader(DataSourceReader):
                 first = found[0]
         return first
 
-    def _batch(self, span, rows):
-        import pyarrow as pa
-
-        keys, values, offsets, wanted = zip(*rows)
+    def _batch(self, path, seq, keys, values, offsets, wanted):
         if self.check:
-            for key, offset, want, got in zip(keys, offsets, wanted, codecs.crc64_iso.column([v or b"" for v in values])):
-                if want and got != want:
-                    raise ChecksumError(f"the value of key {key.hex()} at byte {offset} of {span.path} isn't the one written")
-        columns = [pa.array([span.seq] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(offsets, pa.int64()), pa.array([codecs.signed(w) for w in wanted], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["gen", "key", "value", "value_offset", "checksum"])
-
-
-class _TableWriter(DataSourceWriter):
+            got = codecs.crc64_iso.runs(*columns.flat(columns.plain(values)))
+            for i in np.flatnonzero((wanted != 0) & (got != wanted))[:1].tolist():
+                raise ChecksumError(f"the value of key {keys[i].as_py().hex()} at byte {offsets[i]} of {path} isn't the one written")
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(seq, pa.int64()), len(keys)), keys, values, pa.array(offsets), pa.array(wanted.view(np.int64))], names=["gen", "key", "value", "value_offset", "checksum"])
+
+
+def _entries(entries: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(keys, offsets, checksums) of index records."""
+    raw = columns.plain(entries)
+    data, at, sizes = columns.flat(raw)
+    data, end = columns.padded(data), at + sizes
+    n, key, good = columns.get_uvarints(data, at + 1)
+    good &= (sizes > 0) & (data[at] == 10) & (n > 0) & (n <= sizes)
+    size = np.where(good, n, 0).astype(np.int64)
+    after = np.where(good, key + size, 0)
+    good &= after < end
+    after = np.where(good, after, 0)
+    offset, more, fine = columns.get_uvarints(data, after + 1)
+    good &= (data[after] == 16) & fine & (more <= end)
+    there = more < end  # a checksum, unless it is 0
+    more = np.where(good, more, 0)
+    check, last, fine = columns.get_uvarints(data, more + 1)
+    good &= ~there | (data[more] == 24) & fine & (last == end)
+    if good.all():
+        return columns.gather(data, key, size), offset.astype(np.int64), np.where(there, check, np.uint64(0))
+    parts = [dict(fields(e)) for e in raw.to_pylist()]
+    return pa.array([p.get(1, b"") for p in parts], pa.binary()), np.array([p.get(2, 0) for p in parts], np.int64), np.array([p.get(3, 0) for p in parts], np.uint64)
+
+
+class _TableWriter(DataSourceArrowWriter):
     """Rows (gen, key, value) whose gens come one after the other in each task, keys ascending: a table folder for each
     gen; a gen that exists or that two tasks write is an error."""
 
@@ -655,15 +706,29 @@ class _TableWriter(DataSourceWriter):
             raise ValueError("tables are only ever added to a folder")
 
     def write(self, iterator):
-        from itertools import groupby
-
         os.makedirs(self.path, exist_ok=True)
         message = WriterCommitMessage()
         message.names = []
-        for gen, rows in groupby(iterator, key=lambda r: r["gen"]):
-            name = os.path.join(self.path, f".gen-{uuid.uuid4().hex}")
-            write_table(name, ((bytes(r["key"]), None if r["value"] is None else bytes(r["value"])) for r in rows), self.compression)
-            message.names.append((name, os.path.join(self.path, f"gen_{gen:015d}")))
+        table = last = None
+        try:
+            for batch in _pieces(iterator):
+                keys, values = batch.column("key"), batch.column("value").cast(pa.binary())
+                if keys.null_count:
+                    raise ValueError("a key is null")
+                keys = columns.plain(keys)
+                for gen, a, b in _runs(batch.column("gen")):
+                    if gen != last:
+                        if table:
+                            table.finish()
+                        name = os.path.join(self.path, f".gen-{uuid.uuid4().hex}")
+                        table, last = _TableFile(name, self.compression), gen
+                        message.names.append((name, os.path.join(self.path, f"gen_{gen:015d}")))
+                    table.add(keys[a:b], values[a:b])
+            if table:
+                table.finish()
+        finally:
+            if table:
+                table.close()
         return message
 
     def commit(self, messages):
@@ -707,38 +772,64 @@ def write_table(path: str, rows, compression: str = "snappy", rate: float = 0.01
     stands a Bloom filter of its keys, bloom.bin, sized for them."""
     from itertools import batched
 
-    os.makedirs(path)
-    code, last, counts = codecs.CODES[compression], None, {"num_records": 0, "null_values": 0}
-    hashes: list = []
-    low = None
-    with open(os.path.join(path, "data.rio"), "xb") as data, open(os.path.join(path, "index.rio"), "xb") as index:
-        data.write(file_head(code))
-        index.write(file_head(0))
-        offset = HEAD
+    table = _TableFile(path, compression, rate)
+    try:
         for part in batched(rows, 1024):
-            for (key, value), check in zip(part, codecs.crc64_iso.column([v or b"" for _, v in part])):
-                if last is not None and key == last:
-                    raise ValueError("a key can be written only once")
-                if last is not None and key < last:
-                    raise ValueError("keys must ascend")
-                record = put_record(value, code)
-                data.write(record)
-                index.write(put_record(put_field(1, key) + put_field(2, offset) + put_field(3, check), 0))
-                offset += len(record)
-                last, low = key, key if low is None else low
-                counts["null_values"] += value is None
-            counts["num_records"] += len(part)
-            hashes.append(codecs.fnv1_64_many([k for k, _ in part]))
-        sizes = data.tell(), index.tell()
-    bloom = codecs.Bloom(max(1, counts["num_records"]), rate)
-    for h in hashes:
-        bloom.add_hashes(h)
-    with open(os.path.join(path, "bloom.bin"), "xb") as file:
-        file.write(bloom.dump())
-    meta = put_field(1, counts["num_records"]) + put_field(2, low or b"") + put_field(3, last or b"") + put_field(4, sizes[0]) + put_field(5, sizes[1]) + put_field(6, sum(sizes)) + put_field(7, 1) + put_field(9, counts["null_values"])
-    with open(os.path.join(path, "meta.pb.bin"), "xb") as file:
-        file.write(meta)
-    return counts | {"min_key": low, "max_key": last, "data_bytes": sizes[0], "index_bytes": sizes[1], "total_bytes": sum(sizes), "bloom": bloom}
+            keys, values = zip(*part)
+            table.add(pa.array(keys, pa.binary()), pa.array(values, pa.binary()))
+        return table.finish()
+    finally:
+        table.close()
+
+
+class _TableFile:
+    """A native table that columns of keys, ascending, and values are added to."""
+
+    def __init__(self, path: str, compression: str, rate: float = 0.01):
+        os.makedirs(path)
+        self.path, self.code, self.rate = path, codecs.CODES[compression], rate
+        self.n, self.nulls, self.offset, self.low, self.last, self.hashes = 0, 0, HEAD, None, None, []
+        self.data, self.index = (open(os.path.join(path, name), "xb") for name in ("data.rio", "index.rio"))
+        self.data.write(file_head(self.code))
+        self.index.write(file_head(0))
+
+    def add(self, keys: pa.BinaryArray, values: pa.BinaryArray) -> None:
+        if not len(keys):
+            return
+        before = keys[:-1] if self.last is None else pa.concat_arrays([pa.array([self.last], pa.binary()), keys[:-1]])
+        after = keys[1:] if self.last is None else keys
+        if pc.any(pc.equal(after, before)).as_py():
+            raise ValueError("a key can be written only once")
+        if pc.any(pc.less(after, before)).as_py():
+            raise ValueError("keys must ascend")
+        records = put_records(values, self.code)
+        sizes = columns.flat(records)[2]
+        offsets = self.offset + np.cumsum(sizes) - sizes
+        checks = codecs.crc64_iso.runs(*columns.flat(columns.plain(values)))
+        self.data.write(columns.content(records))
+        entries = columns.join(columns.put_field(1, keys), columns.put_field(2, offsets), columns.put_field(3, checks))
+        self.index.write(columns.content(put_records(entries, 0)))
+        self.offset += int(sizes.sum())
+        self.low, self.last = keys[0].as_py() if self.low is None else self.low, keys[-1].as_py()
+        self.n, self.nulls = self.n + len(keys), self.nulls + values.null_count
+        self.hashes.append(codecs.fnv1_64_runs(*columns.flat(keys)))
+
+    def finish(self) -> dict:
+        sizes = self.data.tell(), self.index.tell()
+        self.close()
+        bloom = codecs.Bloom(max(1, self.n), self.rate)
+        for h in self.hashes:
+            bloom.add_hashes(h)
+        with open(os.path.join(self.path, "bloom.bin"), "xb") as file:
+            file.write(bloom.dump())
+        meta = put_field(1, self.n) + put_field(2, self.low or b"") + put_field(3, self.last or b"") + put_field(4, sizes[0]) + put_field(5, sizes[1]) + put_field(6, sum(sizes)) + put_field(7, 1) + put_field(9, self.nulls)
+        with open(os.path.join(self.path, "meta.pb.bin"), "xb") as file:
+            file.write(meta)
+        return {"num_records": self.n, "null_values": self.nulls, "min_key": self.low, "max_key": self.last, "data_bytes": sizes[0], "index_bytes": sizes[1], "total_bytes": sum(sizes), "bloom": bloom}
+
+    def close(self) -> None:
+        self.data.close()
+        self.index.close()
 
 
 def records_size(path: str) -> int:
