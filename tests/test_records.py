@@ -252,3 +252,21 @@ def test_values_of_tables_in_any_order_and_of_older_ones(tmp_path):
     with open(tmp_path / "t" / "index.rio", "wb") as file:
         file.write(rio([R.put_field(1, e.get(1, b"")) + R.put_field(2, e[2]) for e in entries]))
     assert read() == want
+
+
+def test_one_key_of_many_small_tables(spark, tmp_path):
+    R.register(spark)
+    path = str(tmp_path / "tables")
+    rows = spark.range(3000).selectExpr("id % 300 as gen", "cast(lpad(cast(id div 600 as string), 9, '0') as binary) as key", "cast(cast(id % 600 as string) as binary) as value").where("gen % 3 = 0").dropDuplicates(["gen", "key"])
+    R.save_tables(rows, path)
+    one = spark.read.format("sortedtable").load(path).where(f"key = X'{b'000000004'.hex()}'")
+    assert one.rdd.getNumPartitions() < 10  # of 100 tables
+    assert sorted((r.gen, bytes(r.key)) for r in one.collect()) == [(g, b"000000004") for g in range(100)]
+    # a filter is asked bit by bit; where it says no the table isn't opened, where it is missing the table is searched
+    bloom = codecs.Bloom(400)
+    for i in range(400):
+        bloom.add(b"%d" % i)
+    assert [codecs.Bloom.asked(bloom.dump(), codecs.fnv1_64(b"%d" % i)) for i in range(3000)] == [b"%d" % i in bloom for i in range(3000)]
+    (tmp_path / "tables" / f"gen_{0:015d}" / "index.rio").write_bytes(b"not a table")
+    (tmp_path / "tables" / f"gen_{3:015d}" / "bloom.bin").unlink()
+    assert spark.read.format("sortedtable").load(path).where(f"key = X'{b'no such key'.hex()}'").count() == 0

@@ -602,16 +602,20 @@ class _TableReader(DataSourceReader):
         return _grouped([(p, i) for i, p in enumerate(self.paths)], sizes)
 
     def read(self, group):
-        return _joined(batch for path, seq in group.files for batch in self._table(path, seq))
+        wanted = codecs.fnv1_64(self.low) if self.low is not None and self.low == self.high else None
+        return _joined(batch for path, seq in group.files if wanted is None or self._may_have(path, wanted) for batch in self._table(path, seq))
+
+    @staticmethod
+    def _may_have(path, wanted: int) -> bool:
+        try:
+            with open(os.path.join(path, "bloom.bin"), "rb") as file:
+                return codecs.Bloom.asked(file.read(), wanted)
+        except FileNotFoundError:
+            return True
 
     def _table(self, path, seq):
         import mmap
 
-        bloom = os.path.join(path, "bloom.bin")
-        if self.low is not None and self.low == self.high and os.path.exists(bloom):
-            with open(bloom, "rb") as file:
-                if self.low not in codecs.Bloom.load(file.read()):
-                    return
         meta = os.path.join(path, "meta.pb.bin")
         version = 0
         if os.path.exists(meta):
